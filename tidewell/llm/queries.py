@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.boilerplate import boilerplate_lines
+from tidewell.llm.truncation import cut_values, link_values, truncation_by_host
 from tidewell.tables import table
 
 
@@ -12,6 +13,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate_lines(table(spark, sf_dir, "scraped_links", "link_id", "url", "title", "raw_text"))
 
 
-QUERIES = {"p1_found": p1_found}
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_values(link_values(table(spark, sf_dir, "scraped_links", "link_id", "url", "raw_text"), table(spark, sf_dir, "ask_links", "ask_id", "url", "partial_text", "block_reason")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("cut").select("tbl", "row_id", "field")
+
+
+def p2_host_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_by_host(_judged(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share}
 
 ORACLE_SQL: dict[str, str] = {}
