@@ -22,8 +22,8 @@ from tidewell.session import broadcast_if_small, materialise
 PILE, PILE_LEAST, AROUND = 5.0, 8, 12
 #: The windows of words end a sentence often enough when at least this share of their occurrences does.
 END_SHARE = 0.08
-#: Length of the hashed prefix by which longer copies are looked up.
-PREFIX = 24
+#: Shortest value whose longer copies are looked up, and shortest length that can be a cut width.
+SHORTEST, PREFIX = 16, 24
 LINE = "⏎"
 
 _MARK = re.compile(r"(?:(?:\.\.\.|…)\s*[(\[]?(?:show|read|see|view|load)?\s*(?:more|mehr|plus|más)\b\W*|\((?:more|mehr|suite|más)\W*\)|\[(?:truncated|cut|more|gekürzt|tronqué|cortado|\.\.\.|…)\]|\[\+\]|(?:weiterlesen|lire la suite|leer más)\W*|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|�+|&#?[A-Za-z0-9]{1,6}|\s…|[.!?]…|<[a-zA-Z/]?[^<>]{0,40}|\s[\[({])$", re.I)
@@ -74,7 +74,7 @@ def _windows(values: DataFrame) -> DataFrame:
 
 def _tally(tails: DataFrame, windows: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """For each tail: how often its last word ends a sentence or line elsewhere, trails off, runs on, or is the start of a longer word."""
-    grams = windows.join(tails.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "next", "kind").agg(F.count(F.lit(1)).alias("n"))
+    grams = windows.join(broadcast_if_small(tails.select(*keys).distinct()), keys, "left_semi").groupBy(*keys, "next", "kind").agg(F.count(F.lit(1)).alias("n"))
     same, longer = F.col("next") == F.col("w"), F.col("next").startswith(F.col("w")) & (F.length("next") > F.length("w"))
     total = lambda when, name: F.sum(F.when(when, F.col("n")).otherwise(0)).alias(name + tag)
     own = [c for c in tails.columns if c not in (*keys, "w")]
@@ -104,10 +104,16 @@ def cut_values(values: DataFrame) -> DataFrame:
     windows = _windows(prose)
     tally = _tally(open_tails, windows, ["a", "b"], "3").select("a", "b", "w", "own", "dotted", "ended3", "dots3", "onward3", "grown3")
     pairs = _tally(open_tails.select("b", "w").distinct(), windows, ["b"], "2")
-    # 1: a longer copy that goes on inside the word or sentence.
-    starts = prose.where(F.length("text") > PREFIX).select(F.substring("text", 1, PREFIX).alias("pre"), F.length("text").alias("far"), F.col("text").alias("whole"))
-    short = prose.where(F.length(F.rtrim("text")) > PREFIX).join(tails.where("state in (1, 2)").select("tbl", "row_id", "field"), ["tbl", "row_id", "field"], "left_semi").select("tbl", "row_id", "field", "text", F.substring("text", 1, PREFIX).alias("pre"))
-    copied = short.join(starts, "pre").where((F.col("far") > F.length("text")) & F.startswith("whole", "text")).select("tbl", "row_id", "field", F.lit(True).alias("copied")).distinct()
+    # 1: a longer copy that goes on where this value ends. Prefixes are hashed at lengths that are powers of two,
+    # so a short value meets only texts that share more than half of it, each distinct continuation once.
+    level = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
+    ends = prose.where(F.length("text") >= SHORTEST).join(broadcast_if_small(tails.where("state in (1, 2)").select("tbl", "row_id", "field")), ["tbl", "row_id", "field"], "left_semi")
+    ends = ends.select("tbl", "row_id", "field", level(F.length("text")).alias("k"), F.col("text").alias("t")).select("tbl", "row_id", "field", "k", F.xxhash64(F.expr("substring(t, 1, k)")).alias("h"), F.expr("substring(t, k + 1)").alias("rest"))
+    ends = materialise(ends, "ends")
+    steps = F.transform(F.sequence(F.lit(SHORTEST.bit_length() - 1), F.floor(F.log2(F.length("text"))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+    starts = prose.where(F.length("text") > SHORTEST).select("text", F.explode(steps).alias("k")).where("length(text) > k").select("k", F.xxhash64(F.expr("substring(text, 1, k)")).alias("h"), F.expr("substring(text, k + 1, k)").alias("next"))
+    starts = starts.join(broadcast_if_small(ends.select("k", "h").distinct()), ["k", "h"], "left_semi").distinct()
+    copied = ends.join(starts, ["k", "h"]).where(F.startswith(F.col("next"), F.col("rest")) & (F.length("next") > F.length("rest"))).select("tbl", "row_id", "field", F.lit(True).alias("copied")).distinct()
     judged = tails.withColumn("w", _core("w"))
     for rows, keys in ((piled[0], ["tbl", "field", "len"]), (piled[1], ["tbl", "field", "bytes"]), (tally, ["a", "b", "w"]), (pairs, ["b", "w"]), (copied, ["tbl", "row_id", "field"])):
         judged = judged.join(rows, keys, "left")
