@@ -39,6 +39,12 @@ _STREET_DE = r"(?:[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|gasse|weg|allee|plat
 _STREET_FR = r"\d{1,4}(?: ?(?:bis|ter|quater)|[A-Za-z])?,? (?:[Rr]ue|[Aa]venue|[Aa]v\.|[Bb]d\.?|[Bb]oulevard|[Cc]hemin|[Pp]lace|[Ii]mpasse|[Aa]llée|[Qq]uai|[Rr]oute|[Cc]ours|[Pp]assage|[Ss]quare)(?: (?:de|du|des|la|le|les|aux?)| [dl]['’])*[ ]?[A-ZÀ-Ý][\w'’-]+(?: (?:(?:de|du|des|la) )*[A-ZÀ-Ý][\w'’-]+)*"
 _STREET_ES = r"(?:Calle|calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Pl\.|Paseo|P\.º|Camino|Carrera|Ronda|Travesía)(?: (?:de|del|la|las|los|el|san|santa))* ?[A-ZÁÉÍÓÚÑ][\wÀ-ÿ]+(?: (?:(?:de|del|la|las|los) )*[A-ZÁÉÍÓÚÑ][\wÀ-ÿ]+)*,? (?:n\.?º ?)?\d{1,4}(?: ?(?:bis)|[A-Za-z])?\b"
 _STREET = re.compile(rf"(?<![\w./-])(?:{_STREET_ES}|{_STREET_DE}|{_STREET_FR}|{_STREET_EN})")
+_STREET_SCREEN = (
+    r"(?:stra(?:ß|ss)e|str\.|gasse|weg|llee|latz|anger|ring|damm|ufer|hof|steig|graben|markt|chaussee|pfad|Gasse|Weg|(?:Am|An de[rn]|Im|In der|Zu[mr]|Auf de[mr]|Unter den|Hinter dem|Beim) [A-ZÄÖÜ][^0-9\n]{2,60}),? [0-9]"
+    r"|[0-9](?: ?(?:bis|ter|quater)|[A-Za-z])?,? (?:[Rr]ue|[Aa]venue|[Aa]v\.|[Bb]d|[Bb]oulevard|[Cc]hemin|[Pp]lace|[Ii]mpasse|[Aa]llée|[Qq]uai|[Rr]oute|[Cc]ours|[Pp]assage|[Ss]quare)"
+    r"|(?:[Cc]alle|C/|Av|Plaza|Pza|Pl\.|Paseo|P\.|Camino|Carrera|Ronda|Travesía)[^0-9\n]{2,60}[0-9]"
+    r"|[0-9][A-Za-z]? [A-Z][^0-9\n]{0,50}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Terrace|Ter|Drive|Dr|Way|Place|Pl|Square|Sq|Boulevard|Blvd|Close|Crescent|Row|Gardens|Walk|Alley|Parkway|Pkwy)"
+)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TITLES = frozenset("dr mr mrs ms prof herr frau señor señora sr sra m mme monsieur madame sir miss".split())
 
@@ -252,12 +258,11 @@ def _candidates_in(batches: Iterator[pa.RecordBatch], lexicon_rows: list[tuple[s
     lexicon = Lexicon(lexicon_rows)
     # A linear-time scan of the Arrow column decides which texts are looked at by which finder.
     screens = {
-        "m": "@|(?i: at |[(\\[{] ?at ?[)\\]}])",
+        "m": "@|(?i: at [^ ]+(?: dot |\\.)|[(\\[{] ?at ?[)\\]}])",
         "n": r"[0-9](?:[^0-9A-Za-z\n]{0,3}[0-9]){5}",
-        "s": r"[0-9][A-Za-z]?,? ?(?:bis |ter )?[A-Za-z]|[a-zß.] ?,? [0-9]",
-        "p": lexicon.any + r"|thanks to|ask |met |intro:|signed,|slides by|gracias a|hat das|gave the",
+        "s": _STREET_SCREEN,
+        "p": lexicon.any + r"|thanks to|\bask |\bmet |intro:|signed,|slides by|gracias a|hat das|gave the",
     }
-    streets = re.compile(r"Street|St\b|Road|Rd\b|Ave|Lane|Ln\b|Court|Ct\b|Terrace|Ter\b|Drive|Dr\b|Way|Place|Pl\b|Square|Sq\b|Boulevard|Blvd|Close|Crescent|Row\b|Gardens|Walk|Alley|Parkway|Pkwy|straße|strasse|str\.|gasse|weg |allee|platz|anger|ring |damm|ufer|hof |steig|graben|markt|chaussee|pfad|Am |An de|Im |In der|Zu[mr] |Auf de|Unter |Hinter|Beim|[Rr]ue |venue|[Aa]v\.|[Bb]d|oulevard|hemin|lace|mpasse|llée|uai |oute |ours |assage|quare|alle |C/|Avda|Avenida|Plaza|Pza|Paseo|Camino|Carrera|Ronda|Travesía|Straße|Strasse|Str\.")
     for batch in batches:
         texts = batch.column("text")
         wanted = {k: pc.fill_null(pc.match_substring_regex(texts, p), False) for k, p in screens.items()}
@@ -265,7 +270,7 @@ def _candidates_in(batches: Iterator[pa.RecordBatch], lexicon_rows: list[tuple[s
         picked = batch.filter(keep)
         flags = {k: v.filter(keep).to_pylist() for k, v in wanted.items()}
         for i, (tbl, row_id, text) in enumerate(zip(picked.column("tbl").to_pylist(), picked.column("row_id").to_pylist(), picked.column("text").to_pylist())):
-            which = "".join(k for k in "mnp" if flags[k][i]) + ("s" if flags["s"][i] and streets.search(text) else "")
+            which = "".join(k for k in "mnsp" if flags[k][i]) 
             if which:
                 yield tbl, row_id, text, spans(text, lexicon, which)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.boilerplate import boilerplate_lines
+from tidewell.llm.cooccurrence import baskets, frequent_pairs
+from tidewell.llm.personal import personal_data, redacted, table_texts
 from tidewell.llm.truncation import cut_values, link_values, truncation_by_host
 from tidewell.tables import table
 
@@ -25,6 +27,41 @@ def p2_host_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_host(_judged(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share}
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_texts(table(spark, sf_dir, "messages", "msg_id", "text"), table(spark, sf_dir, "grades", "grade_id", "original_text"), table(spark, sf_dir, "ingest_requests", "entry_id", "text"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"))
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "scraped_links", "link_id", "entities", "topics")
+    return frequent_pairs([baskets(table(spark, sf_dir, "grades", "grade_id", "topics"), "grade_id", "topics", "grade_topics"), baskets(links, "link_id", "entities", "link_entities"), baskets(links, "link_id", "topics", "link_topics")])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pairs(spark, sf_dir).select("field", "item_a", "item_b")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_pairs": p6_pairs}
+
+_PAIRS = """with r as (
+  select distinct 'grade_topics' as field, grade_id as key, topics as items from grades
+  union all select distinct 'link_entities', link_id, entities from scraped_links
+  union all select distinct 'link_topics', link_id, topics from scraped_links),
+n as (select field, count(distinct key) as n from r group by field),
+i as (select distinct field, key, item from (select field, key, lower(trim(unnest(items))) as item from r) where item <> ''),
+m as (select field, item, count(*) as n_item from i group by field, item),
+p as (select a.field, a.item as item_a, b.item as item_b, count(*) as n_ab from i a join i b on a.field = b.field and a.key = b.key and a.item < b.item group by all having count(*) >= 5)
+select p.field, p.item_a, p.item_b{} from p join m x on x.field = p.field and x.item = p.item_a join m y on y.field = p.field and y.item = p.item_b join n on n.field = p.field
+where p.n_ab * n.n >= 4 * x.n_item * y.n_item"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p6_found": _PAIRS.format(""),
+    "p6_pairs": _PAIRS.format(", p.n_ab, x.n_item as n_a, y.n_item as n_b, n.n, round(p.n_ab * n.n / (x.n_item * y.n_item), 6) as ratio, round(log2(p.n_ab * n.n / (x.n_item * y.n_item)), 6) as pmi"),
+}
