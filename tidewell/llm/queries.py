@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm.boilerplate import boilerplate_lines
 from tidewell.llm.cooccurrence import baskets, frequent_pairs
 from tidewell.llm.personal import personal_data, redacted, table_texts
+from tidewell.llm.spellings import same_spellings, spelling_entities
 from tidewell.llm.truncation import cut_values, link_values, truncation_by_host
 from tidewell.tables import table
 
@@ -39,6 +41,19 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = table(spark, sf_dir, "scraped_links", "entities").select(F.explode("entities").alias("name"))
+    return entities.union(table(spark, sf_dir, "grades", "topics").select(F.explode("topics")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_spellings(_names(spark, sf_dir))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_entities(_names(spark, sf_dir))
+
+
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "scraped_links", "link_id", "entities", "topics")
     return frequent_pairs([baskets(table(spark, sf_dir, "grades", "grade_id", "topics"), "grade_id", "topics", "grade_topics"), baskets(links, "link_id", "entities", "link_entities"), baskets(links, "link_id", "topics", "link_topics")])
@@ -48,7 +63,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pairs(spark, sf_dir).select("field", "item_a", "item_b")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_pairs": p6_pairs}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs}
 
 _PAIRS = """with r as (
   select distinct 'grade_topics' as field, grade_id as key, topics as items from grades

@@ -10,8 +10,12 @@ Marks that a cut leaves behind (an ellipsis with "more", half an escape) settle
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +29,16 @@ END_SHARE = 0.08
 #: Shortest value whose longer copies are looked up, and shortest length that can be a cut width.
 SHORTEST, PREFIX = 16, 24
 LINE = "⏎"
+#: Contexts up to which the workers get them whole and count by themselves; beyond, windows and contexts are joined.
+CONTEXTS = 200_000
 
 _MARK = re.compile(r"(?:(?:\.\.\.|…)\s*[(\[]?(?:show|read|see|view|load)?\s*(?:more|mehr|plus|más)\b\W*|\((?:more|mehr|suite|más)\W*\)|\[(?:truncated|cut|more|gekürzt|tronqué|cortado|\.\.\.|…)\]|\[\+\]|(?:weiterlesen|lire la suite|leer más)\W*|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|�+|&#?[A-Za-z0-9]{1,6}|\s…|[.!?]…|<[a-zA-Z/]?[^<>]{0,40}|\s[\[({])$", re.I)
 _ELLIPSIS = re.compile(r"(\S?)(\s*)(?:\.\.\.|…)$")
 _ENDED = re.compile(r"[.!?。！？।؟][\"'”’»›」』)\]]*(?:\s*[\U0001F000-\U0001FAFF☀-➿:;][)(DPp]?)*$|\w[\"”»」』]$")
 _WEAK = re.compile(r"(?:(?:https?://|www\.)\S+|(?<!\S)[#@][\w-]+|[\U0001F000-\U0001FAFF☀-➿️]+|:[)(DP]|;\)|\blol|```|\|)$")
 _DIGITS = re.compile(r"\d+")
+_LINES = re.compile(r"\s*\n\s*")
+BREAK = " ⏎ ⏎ "
 
 
 def tail_of(text: str | None, host: str = "") -> tuple[int, str, str, str]:
@@ -38,13 +46,12 @@ def tail_of(text: str | None, host: str = "") -> tuple[int, str, str, str]:
     t = (text or "").rstrip()
     if not t:
         return 0, "", "", ""
-    m = _MARK.search(t)
-    e = _ELLIPSIS.search(t)
-    state = 3 if m else 4 if e else 0 if _ENDED.search(t) else 1 if _WEAK.search(t) else 2
-    if text[-1:] in " \t" and state == 2 and not text.endswith(("\n", "\r")):
-        state = 2
+    # The patterns look at how a text ends; what they can match is never longer than this.
+    last = t[-120:]
+    m, e = _MARK.search(last), _ELLIPSIS.search(last)
+    state = 3 if m else 4 if e else 0 if _ENDED.search(last) else 1 if _WEAK.search(last) else 2
     if e and not m:
-        t = t[: e.start() + len(e.group(1))].rstrip()
+        t = t[: len(t) - len(last) + e.start() + len(e.group(1))].rstrip()
     line = t.rsplit("\n", 1)[-1].strip()
     line = _DIGITS.sub("0", line.replace(host, "HOST") if host else line)
     words = [LINE, LINE, *line.split()][-3:]
@@ -72,9 +79,56 @@ def _windows(values: DataFrame) -> DataFrame:
     return rows.select("a", "b", _core("next").alias("next"), F.when(dots, "dots").when(ends, "ends").otherwise("runs").alias("kind"))
 
 
-def _tally(tails: DataFrame, windows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+_TERMINAL = re.compile(r"[.!?…]+[\"'”’»)\]]*$")
+
+
+def _counted(batches: Iterator[pa.RecordBatch], three: dict, two: dict) -> Iterator[pa.RecordBatch]:
+    """What follows the contexts in the texts of a partition, already added up: (a, b, next, kind, n); a is empty for contexts of one word."""
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("next", pa.string()), ("kind", pa.string()), ("n", pa.int64())])
+    found: Counter = Counter()
+
+    def emit() -> pa.RecordBatch:
+        rows = [(*k, n) for k, n in found.items()]
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    for batch in batches:
+        for text, host in zip(batch.column("text").to_pylist(), batch.column("host").to_pylist()):
+            if host:
+                text = text.replace(host, "HOST")
+            words = f"{LINE} {LINE} {_LINES.sub(BREAK, _DIGITS.sub('0', text.strip()))}".split()
+            for a, b, c, d in zip(words, words[1:], words[2:], words[3:]):
+                w2 = two.get(b)
+                if w2 is None or c == LINE or (c[:2] not in w2 and c[:1] not in w2):
+                    continue
+                core = _TERMINAL.sub("", c) if c[-1] in ".!?…\"'”’»)]" else c
+                kind = "runs" if core == c and d != LINE else "dots" if "…" in c[len(core) :] or "..." in c[len(core) :] else "ends"
+                found["", b, core, kind] += 1
+                w3 = three.get((a, b))
+                if w3 is not None and (c[:2] in w3 or c[:1] in w3):
+                    found[a, b, core, kind] += 1
+        if len(found) > 300_000:
+            yield emit()
+    if found:
+        yield emit()
+
+
+def _grams(tails: DataFrame, prose: DataFrame) -> DataFrame:
+    """(a, b, next, kind, n) for the contexts of the tails, with three words and (a empty) with two."""
+    contexts = tails.select("a", "b", F.substring("w", 1, 2).alias("w")).distinct()
+    if contexts.limit(CONTEXTS + 1).count() <= CONTEXTS:
+        three, two = {}, {}
+        for r in contexts.collect():
+            three.setdefault((r.a, r.b), set()).add(r.w)
+            two.setdefault(r.b, set()).add(r.w)
+        return prose.select("text", "host").mapInArrow(partial(_counted, three=three, two=two), "a string, b string, next string, kind string, n long").groupBy("a", "b", "next", "kind").agg(F.sum("n").alias("n"))
+    windows = _windows(prose)
+    by = lambda rows, keys: rows.join(tails.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "next", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return by(windows, ["a", "b"]).select("a", "b", "next", "kind", "n").unionByName(by(windows, ["b"]).select(F.lit("").alias("a"), "b", "next", "kind", "n"))
+
+
+def _tally(tails: DataFrame, grams: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """For each tail: how often its last word ends a sentence or line elsewhere, trails off, runs on, or is the start of a longer word."""
-    grams = windows.join(broadcast_if_small(tails.select(*keys).distinct()), keys, "left_semi").groupBy(*keys, "next", "kind").agg(F.count(F.lit(1)).alias("n"))
     same, longer = F.col("next") == F.col("w"), F.col("next").startswith(F.col("w")) & (F.length("next") > F.length("w"))
     total = lambda when, name: F.sum(F.when(when, F.col("n")).otherwise(0)).alias(name + tag)
     own = [c for c in tails.columns if c not in (*keys, "w")]
@@ -101,9 +155,9 @@ def cut_values(values: DataFrame) -> DataFrame:
         piled.append(broadcast_if_small(piles.select("tbl", "field", size, F.lit(True).alias(f"piled_{size}"))))
     # 2: how the last words of unfinished values go on elsewhere: three words, else the last two.
     open_tails = tails.where("state in (1, 2, 4)").groupBy("a", "b", _core("w").alias("w")).agg(F.count(F.lit(1)).alias("own"), F.sum(F.when(F.col("state") == 4, 1).otherwise(0)).alias("dotted"))
-    windows = _windows(prose)
-    tally = _tally(open_tails, windows, ["a", "b"], "3").select("a", "b", "w", "own", "dotted", "ended3", "dots3", "onward3", "grown3")
-    pairs = _tally(open_tails.select("b", "w").distinct(), windows, ["b"], "2")
+    grams = materialise(_grams(open_tails, prose), "grams")
+    tally = _tally(open_tails, grams.where("a <> ''"), ["a", "b"], "3").select("a", "b", "w", "own", "dotted", "ended3", "dots3", "onward3", "grown3")
+    pairs = _tally(open_tails.select("b", "w").distinct(), grams.where("a = ''").drop("a"), ["b"], "2")
     # 1: a longer copy that goes on where this value ends. Prefixes are hashed at lengths that are powers of two,
     # so a short value meets only texts that share more than half of it, each distinct continuation once.
     level = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
