@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.boilerplate import boilerplate_lines
 from tidewell.llm.cooccurrence import baskets, frequent_pairs
+from tidewell.llm.mixing import mixture, mixture_shares
+from tidewell.llm.packing import container_lists, fill_report, pack
 from tidewell.llm.personal import personal_data, redacted, table_texts
+from tidewell.llm.sentences import sentences
 from tidewell.llm.spellings import same_spellings, spelling_entities
+from tidewell.llm.tokens import token_counts
 from tidewell.llm.truncation import cut_values, link_values, truncation_by_host
+from tidewell.session import materialise
 from tidewell.tables import table
 
 
@@ -63,7 +68,41 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pairs(spark, sf_dir).select("field", "item_a", "item_b")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", [])
+    return pack(sizes, table(spark, sf_dir, "container_sizes"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container_lists(_packed(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialise(token_counts(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", ["source", "text"]), "sizes")
+    return mixture(sizes, table(spark, sf_dir, "mixture_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_shares(materialise(_mixed(spark, sf_dir), "mixed"), table(spark, sf_dir, "mixture_targets"))
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_sentences(spark, sf_dir).select("doc_id", "end_pos")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
 
 _PAIRS = """with r as (
   select distinct 'grade_topics' as field, grade_id as key, topics as items from grades

@@ -82,7 +82,7 @@ def _windows(values: DataFrame) -> DataFrame:
 _TERMINAL = re.compile(r"[.!?…]+[\"'”’»)\]]*$")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], three: dict, two: dict) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], contexts: dict, pairs: bool) -> Iterator[pa.RecordBatch]:
     """What follows the contexts in the texts of a partition, already added up: (a, b, next, kind, n); a is empty for contexts of one word."""
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("next", pa.string()), ("kind", pa.string()), ("n", pa.int64())])
     found: Counter = Counter()
@@ -97,34 +97,32 @@ def _counted(batches: Iterator[pa.RecordBatch], three: dict, two: dict) -> Itera
             if host:
                 text = text.replace(host, "HOST")
             words = f"{LINE} {LINE} {_LINES.sub(BREAK, _DIGITS.sub('0', text.strip()))}".split()
-            for a, b, c, d in zip(words, words[1:], words[2:], words[3:]):
-                w2 = two.get(b)
-                if w2 is None or c == LINE or (c[:2] not in w2 and c[:1] not in w2):
+            for i, w in enumerate(map(contexts.get, words[1:-2])):
+                if w is None:
+                    continue
+                if pairs and (w := w.get(words[i])) is None:
+                    continue
+                c = words[i + 2]
+                if c[:2] not in w and c[:1] not in w or c == LINE:
                     continue
                 core = _TERMINAL.sub("", c) if c[-1] in ".!?…\"'”’»)]" else c
-                kind = "runs" if core == c and d != LINE else "dots" if "…" in c[len(core) :] or "..." in c[len(core) :] else "ends"
-                found["", b, core, kind] += 1
-                w3 = three.get((a, b))
-                if w3 is not None and (c[:2] in w3 or c[:1] in w3):
-                    found[a, b, core, kind] += 1
+                kind = "runs" if core == c and words[i + 3] != LINE else "dots" if "…" in c[len(core) :] or "..." in c[len(core) :] else "ends"
+                found[words[i] if pairs else "", words[i + 1], core, kind] += 1
         if len(found) > 300_000:
             yield emit()
     if found:
         yield emit()
 
 
-def _grams(tails: DataFrame, prose: DataFrame) -> DataFrame:
-    """(a, b, next, kind, n) for the contexts of the tails, with three words and (a empty) with two."""
-    contexts = tails.select("a", "b", F.substring("w", 1, 2).alias("w")).distinct()
+def _grams(tails: DataFrame, prose: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, next, kind, n): how the contexts of the tails go on in all texts; keys are (a, b) or (b)."""
+    contexts = tails.select(*keys, F.substring("w", 1, 2).alias("w")).distinct()
     if contexts.limit(CONTEXTS + 1).count() <= CONTEXTS:
-        three, two = {}, {}
+        after: dict = {}
         for r in contexts.collect():
-            three.setdefault((r.a, r.b), set()).add(r.w)
-            two.setdefault(r.b, set()).add(r.w)
-        return prose.select("text", "host").mapInArrow(partial(_counted, three=three, two=two), "a string, b string, next string, kind string, n long").groupBy("a", "b", "next", "kind").agg(F.sum("n").alias("n"))
-    windows = _windows(prose)
-    by = lambda rows, keys: rows.join(tails.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "next", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return by(windows, ["a", "b"]).select("a", "b", "next", "kind", "n").unionByName(by(windows, ["b"]).select(F.lit("").alias("a"), "b", "next", "kind", "n"))
+            (after.setdefault(r.b, {}).setdefault(r.a, set()) if "a" in keys else after.setdefault(r.b, set())).add(r.w)
+        return prose.select("text", "host").mapInArrow(partial(_counted, contexts=after, pairs="a" in keys), "a string, b string, next string, kind string, n long").groupBy(*keys, "next", "kind").agg(F.sum("n").alias("n"))
+    return _windows(prose).join(tails.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "next", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _tally(tails: DataFrame, grams: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -155,9 +153,9 @@ def cut_values(values: DataFrame) -> DataFrame:
         piled.append(broadcast_if_small(piles.select("tbl", "field", size, F.lit(True).alias(f"piled_{size}"))))
     # 2: how the last words of unfinished values go on elsewhere: three words, else the last two.
     open_tails = tails.where("state in (1, 2, 4)").groupBy("a", "b", _core("w").alias("w")).agg(F.count(F.lit(1)).alias("own"), F.sum(F.when(F.col("state") == 4, 1).otherwise(0)).alias("dotted"))
-    grams = materialise(_grams(open_tails, prose), "grams")
-    tally = _tally(open_tails, grams.where("a <> ''"), ["a", "b"], "3").select("a", "b", "w", "own", "dotted", "ended3", "dots3", "onward3", "grown3")
-    pairs = _tally(open_tails.select("b", "w").distinct(), grams.where("a = ''").drop("a"), ["b"], "2")
+    tally = materialise(_tally(open_tails, _grams(open_tails, prose, ["a", "b"]), ["a", "b"], "3"), "tally")
+    alone = tally.where("ended3 + dots3 + onward3 + grown3 = 0").select("b", "w").distinct()
+    pairs = _tally(alone, _grams(alone, prose, ["b"]), ["b"], "2")
     # 1: a longer copy that goes on where this value ends. Prefixes are hashed at lengths that are powers of two,
     # so a short value meets only texts that share more than half of it, each distinct continuation once.
     level = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
