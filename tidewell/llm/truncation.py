@@ -37,8 +37,6 @@ _ELLIPSIS = re.compile(r"(\S?)(\s*)(?:\.\.\.|…)$")
 _ENDED = re.compile(r"[.!?。！？।؟][\"'”’»›」』)\]]*(?:\s*[\U0001F000-\U0001FAFF☀-➿:;][)(DPp]?)*$|\w[\"”»」』]$")
 _WEAK = re.compile(r"(?:(?:https?://|www\.)\S+|(?<!\S)[#@][\w-]+|[\U0001F000-\U0001FAFF☀-➿️]+|:[)(DP]|;\)|\blol|```|\|)$")
 _DIGITS = re.compile(r"\d+")
-_LINES = re.compile(r"\s*\n\s*")
-BREAK = " ⏎ ⏎ "
 
 
 def tail_of(text: str | None, host: str = "") -> tuple[int, str, str, str]:
@@ -93,21 +91,29 @@ def _counted(batches: Iterator[pa.RecordBatch], contexts: dict, pairs: bool) ->
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     for batch in batches:
+        # No window reaches over a line break, so each different line is looked at once; a text's last line has no end that counts.
+        lines: Counter = Counter()
         for text, host in zip(batch.column("text").to_pylist(), batch.column("host").to_pylist()):
-            if host:
-                text = text.replace(host, "HOST")
-            words = f"{LINE} {LINE} {_LINES.sub(BREAK, _DIGITS.sub('0', text.strip()))}".split()
+            parts = (text.replace(host, "HOST") if host else text).strip().split("\n")
+            last = parts.pop()
+            lines.update(parts)
+            lines[last, False] += 1
+        for line, n in lines.items():
+            whole = isinstance(line, str)
+            words = [LINE, LINE, *_DIGITS.sub("0", line if whole else line[0]).split()]
+            if whole:
+                words.append(LINE)
             for i, w in enumerate(map(contexts.get, words[1:-2])):
                 if w is None:
                     continue
                 if pairs and (w := w.get(words[i])) is None:
                     continue
                 c = words[i + 2]
-                if c[:2] not in w and c[:1] not in w or c == LINE:
+                if c[:2] not in w and c[:1] not in w:
                     continue
                 core = _TERMINAL.sub("", c) if c[-1] in ".!?…\"'”’»)]" else c
                 kind = "runs" if core == c and words[i + 3] != LINE else "dots" if "…" in c[len(core) :] or "..." in c[len(core) :] else "ends"
-                found[words[i] if pairs else "", words[i + 1], core, kind] += 1
+                found[words[i] if pairs else "", words[i + 1], core, kind] += n
         if len(found) > 300_000:
             yield emit()
     if found:
