@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -33,10 +34,11 @@ def zipped_export_lines(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         member = next((m for m in z.namelist() if m.lower().endswith(".txt")), None)
-                        lines = z.read(member).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n") if member else []
+                        lines = re.split("\r\n?|\n", z.read(member).decode("utf-8", "replace")) if member else []
                 except zipfile.BadZipFile:
                     lines = []
-                yield pd.DataFrame({"source_id": [name.rsplit("/", 1)[-1]] * len(lines), "line_no": range(len(lines)), "line": lines})
+                if lines:
+                    yield pd.DataFrame({"source_id": [name.rsplit("/", 1)[-1]] * len(lines), "line_no": [*range(len(lines))], "line": lines})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source_id string, line_no long, line string")
 
