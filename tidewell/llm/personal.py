@@ -316,7 +316,7 @@ def estimate(counts: dict[int, int]) -> dict[int, np.ndarray]:
     right = np.full((len(LABELERS), 6, 6), 0.1 / 5)
     for j in range(len(LABELERS)):
         np.fill_diagonal(right[j], 0.9)
-    # Counter-evidence is written to be decisive where it speaks.
+    # Counter-evidence is written to be decisive where it speaks, and isn't re-estimated.
     right[LABELERS.index("counter")] = 0.002
     right[LABELERS.index("counter"), NONE, NONE] = 0.99
     prior, start = np.full(6, 1 / 6), right.copy()
@@ -331,6 +331,8 @@ def estimate(counts: dict[int, int]) -> dict[int, np.ndarray]:
         weight = post * n[:, None]
         prior = (weight.sum(axis=0) + 1) / (weight.sum() + 6)
         for j in range(len(LABELERS)):
+            if LABELERS[j] == "counter":
+                continue
             table = start[j] * (20 + 0.2 * n.sum())
             for v in range(6):
                 table[:, v] += weight[votes[:, j] == v].sum(axis=0)
