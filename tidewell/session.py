@@ -72,3 +72,9 @@ def replicate_hot(df: DataFrame, hot: list[tuple], keys: list[str], salts: int =
     is_hot = F.struct(*keys).isin([F.struct(*[F.lit(v) for v in k]) for k in hot]) if len(keys) > 1 else F.col(keys[0]).isin([k[0] for k in hot])
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return df.withColumn("salt", F.explode(copies))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input comes in fewer parts than there are; a large one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
