@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
+from tidewell.session import materialise, spread
 
 KINDS = ("none", "email", "phone", "id_number", "street_address", "person_name")
 NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
@@ -346,7 +346,7 @@ def candidates(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     if len(rows) > LEXICON_ROWS:
         raise ValueError(f"a lexicon of more than {LEXICON_ROWS} words isn't sent to the workers")
     told = texts.where("row_id is not null and text is not null and text <> ''").select("tbl", F.col("row_id").cast("long"), "text")
-    return told.mapInArrow(partial(_emit, lexicon_rows=sorted((r.word, r.kind) for r in rows)), "tbl string, row_id long, found_text string, pattern int, features array<int>")
+    return spread(told).mapInArrow(partial(_emit, lexicon_rows=sorted((r.word, r.kind) for r in rows)), "tbl string, row_id long, found_text string, pattern int, features array<int>")
 
 
 def fit(found: DataFrame) -> SpanModel:
@@ -426,7 +426,7 @@ def redacted(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("row_id"), pa.array(out, pa.string())], ["tbl", "row_id", "text"])
 
-    return texts.select("tbl", F.col("row_id").cast("long"), "text").distinct().mapInArrow(replace, "tbl string, row_id long, text string")
+    return spread(texts.select("tbl", F.col("row_id").cast("long"), "text")).mapInArrow(replace, "tbl string, row_id long, text string").distinct()
 
 
 def table_texts(messages: DataFrame, grades: DataFrame, requests: DataFrame) -> DataFrame:

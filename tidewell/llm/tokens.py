@@ -9,6 +9,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidewell.session import spread
+
 #: Default vocabulary file; any rank file of the same kind will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -40,4 +42,4 @@ def token_counts(documents: DataFrame, key: str, keep: list[str], path: str = VO
             out["n_tokens"] = [len(x) for x in enc.encode_ordinary_batch(b["text"].fillna("").tolist(), num_threads=1)]
             yield out
 
-    return documents.select(*dict.fromkeys([key, *keep, "text"])).mapInPandas(measure, schema)
+    return spread(documents.select(*dict.fromkeys([key, *keep, "text"]))).mapInPandas(measure, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.session import broadcast_if_small, materialise
+from tidewell.session import broadcast_if_small, materialise, spread
 
 #: A length is a cut width when at least PILE times as many values have it as the lengths around it on average, and PILE_LEAST at least.
 PILE, PILE_LEAST, AROUND = 5.0, 8, 12
@@ -147,7 +147,7 @@ def cut_values(values: DataFrame) -> DataFrame:
     once. A complete text without full stop is not cut: its last words end elsewhere too.
     """
     values = values.where("text is not null and trim(text) <> ''")
-    prose = values.where("not codes")
+    prose = spread(values.where("not codes"))
     tails = prose.select("tbl", "row_id", "field", "host", F.length("text").alias("len"), F.octet_length("text").alias("bytes"), _tails("text", "host").alias("t")).select("*", "t.*").drop("t").distinct()
     tails = materialise(tails, "tails")
     # 3: lengths, in characters and in bytes, at which values pile up.
