@@ -119,7 +119,46 @@ def phone_gate(spark, sf_dir):
     return table(spark, sf_dir, "messages", "msg_id", "text").select("msg_id", found.alias("f")).where("f <> ''").distinct().select("msg_id", T.masked_digits(F.col("f")).alias("masked"))
 
 
-QUERIES = {f.__name__: f for f in (chat_roundtrip, heuristic_filter, heuristic_reason_counts, message_identity, point_ids, unseen_messages, import_outcomes, token_estimates, batch_packing, split_text, context_window, pass2_merge, chunk_grade_merge, grade_normalise, grade_distribution, category_stats, duplicates_reposts, store_fingerprint, phone_gate)}
+def self_introduction(spark, sf_dir):
+    """Messages that open with a greeting and soon speak in the first person, or say they introduce someone."""
+    edge = spark.createDataFrame([(-1, "Hi all, my name is Ada"), (-2, "Hello, the queue is full"), (-3, "let me introduce myself"), (-4, None)], "msg_id long, text string")
+    t = F.lower(T.strip(F.coalesce("text", F.lit(""))))
+    intro = t.rlike(r"^(hi|hello|hey|greetings|good (morning|evening|afternoon))\b") & F.substring(t, 1, 200).rlike(r"\b(i am|i'm|my name is|i work)\b") | t.contains("introduce myself")
+    return table(spark, sf_dir, "messages", "msg_id", "text").unionByName(edge).distinct().select("msg_id", intro.alias("is_introduction"))
+
+
+def enrichment_rollup(spark, sf_dir):
+    """Links by intent: how many, and how many topics and entities they carry."""
+    n = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    s = table(spark, sf_dir, "scraped_links", "link_id", "link_intent", "topics", "entities").distinct()
+    return s.groupBy(F.coalesce("link_intent", F.lit("none")).alias("link_intent")).agg(F.count(F.lit(1)).alias("n"), F.sum(n("topics")).alias("topics"), F.sum(n("entities")).alias("entities"), F.round(F.avg(n("topics")), 6).alias("mean_topics"))
+
+
+def revision_skip(spark, sf_dir):
+    """Sources whose revision an earlier import has seen; the earlier state holds the even-numbered imports' revisions."""
+    now = table(spark, sf_dir, "ingestion_sources", "source_id", "source_type", "revision").distinct()
+    seen = table(spark, sf_dir, "ingestion_sources", "source_id", "revision", "imported_at").where("revision is not null and imported_at < '2026-09-15'").select("source_id", "revision").distinct()
+    return now.join(seen.withColumn("unchanged", F.lit(True)), ["source_id", "revision"], "left").select("source_id", "source_type", F.coalesce("unchanged", F.lit(False)).alias("skipped"))
+
+
+def latency_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles of a measured value per event type, and the interpolated median."""
+    e = table(spark, sf_dir, "events", "event_type", "value").where("value is not null")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"))
+
+
+def model_replies(spark, sf_dir):
+    """Model answers as lists of grades: fences off, a single object or a list, anything else an empty list."""
+    fence = "```"
+    replies = [(1, f'{fence}json\n[{{"quality": 4, "category": "insight"}}, {{"quality": 9}}]\n{fence}'), (2, '{"quality": 2, "category": "noise"}'), (3, "no json at all"), (4, None), (5, "[]")]
+    df = spark.createDataFrame(replies, "reply_id long, reply string")
+    bare = F.trim(F.regexp_replace(F.coalesce("reply", F.lit("")), r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", ""))
+    listed = F.when(bare.startswith("{"), F.concat(F.lit("["), bare, F.lit("]"))).otherwise(bare)
+    grades = F.coalesce(F.from_json(listed, "array<struct<quality:int,category:string>>"), F.array().cast("array<struct<quality:int,category:string>>"))
+    return df.select("reply_id", F.size(grades).cast("long").alias("n"), F.array_join(F.transform(grades, lambda g: F.greatest(F.lit(1), F.least(F.lit(5), g["quality"])).cast("string")), ",").alias("qualities"))
+
+
+QUERIES = {f.__name__: f for f in (chat_roundtrip, heuristic_filter, heuristic_reason_counts, message_identity, point_ids, unseen_messages, import_outcomes, token_estimates, batch_packing, split_text, context_window, pass2_merge, chunk_grade_merge, grade_normalise, grade_distribution, category_stats, duplicates_reposts, store_fingerprint, phone_gate, self_introduction, enrichment_rollup, revision_skip, latency_percentiles, model_replies)}
 
 _WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -177,5 +216,11 @@ select msg_id, (arg_max(grade_id, (quality, -grade_id))) as best_grade_id, max(q
     "category_stats": f"with {_G} select category, count(*) as n, round(avg(confidence), 6) as mean_confidence, min(confidence) as min_confidence, max(confidence) as max_confidence, round(avg(len(coalesce(topics, []))), 6) as mean_topics from g group by 1",
     "duplicates_reposts": "select sha256(text) as content_hash, count(*) as copies, count(distinct sent_at) as stamps, min(doc_id) as first_doc from documents group by 1 having count(*) > 1",
     "store_fingerprint": "select candidate_type, count(*) as n, sum(('0x' || sha256(doc_id::varchar)[1:12])::hugeint)::varchar as checksum from documents group by 1",
+    "self_introduction": rf"""select distinct msg_id, coalesce(regexp_matches(t, '^(hi|hello|hey|greetings|good (morning|evening|afternoon))\b') and regexp_matches(t[1:200], '\b(i am|i''m|my name is|i work)\b') or contains(t, 'introduce myself'), false) as is_introduction
+from (select msg_id, lower({_strip("coalesce(text, '')")}) as t from (select msg_id, text from messages union all select * from (values (-1, 'Hi all, my name is Ada'), (-2, 'Hello, the queue is full'), (-3, 'let me introduce myself'), (-4, null)) v(msg_id, text)))""",
+    "enrichment_rollup": "select coalesce(link_intent, 'none') as link_intent, count(*) as n, sum(len(coalesce(topics, [])))::bigint as topics, sum(len(coalesce(entities, [])))::bigint as entities, round(avg(len(coalesce(topics, []))), 6) as mean_topics from (select distinct link_id, link_intent, topics, entities from scraped_links) group by 1",
+    "revision_skip": "select distinct n.source_id, n.source_type, coalesce(n.revision is not null and n.imported_at < '2026-09-15', false) as skipped from ingestion_sources n",
+    "latency_percentiles": "select event_type, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, round(median(value), 6) as median from events where value is not null group by 1",
+    "model_replies": "select * from (values (1::bigint, 2::bigint, '4,5'), (2, 1, '2'), (3, 0, ''), (4, 0, ''), (5, 0, '')) t(reply_id, n, qualities)",
     "phone_gate": r"select distinct msg_id, masked from (select msg_id, nullif(regexp_extract(regexp_replace(text, 'https?://\S+', ' ', 'g'), '(\+[0-9][0-9 ()-]{7,}[0-9])', 1), '') as f from messages) , lateral (select regexp_replace(f[1:greatest(0, length(f) - length(regexp_extract(f, '(\d\D*\d\D*)$', 1)))], '\d', '#', 'g') || regexp_extract(f, '(\d\D*\d\D*)$', 1) as masked) where f is not null",
 }
