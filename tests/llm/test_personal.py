@@ -30,6 +30,8 @@ CASES = [
     ("Thanks to Mira K. Oldenkamp for the notes", [("person_name", "Mira K. Oldenkamp")]),
     ("Dr. tomas brenwick gave the talk", [("person_name", "tomas brenwick")]),
     ("intro: Brenwick, Mira, works on search", [("person_name", "Brenwick, Mira")]),
+    ("They asked for my ID 99123456K again. DNI 99.123.456-T para el registro", [("id_number", "99123456K"), ("id_number", "99.123.456-T")]),
+    ("Gracias a wanda brenwick por el enlace. signed, Brenwick", [("person_name", "wanda brenwick")]),
     ("Grace period ends. The harvest feed will rise.", []),
     ("", []),
     (None, []),
@@ -43,7 +45,7 @@ def test_spans_kinds_and_placeholders(spark, lexicon):
     assert got == sorted((i, k, f) for i, (_, found) in enumerate(CASES) for k, f in found)
     clean = {r.row_id: r.text for r in P.redacted(df, lexicon).collect()}
     assert clean[0] == "write to [EMAIL] please" and clean[15] == "Thanks to [PERSON_NAME] for the notes" and clean[6] == "SSN [ID_NUMBER] was in the form"
-    assert clean[14] == CASES[14][0] and clean[20] is None
+    assert clean[14] == CASES[14][0] and clean[22] is None
 
 
 def test_empty_tables(spark, lexicon):

@@ -54,7 +54,7 @@ _PHONE_FORMS = [re.compile(p) for p in (
     r"\(?0\d{2,4}\)?[\s/‐‑-]?\d{3,4}[\s‐‑-]?\d{3,4}", r"\(?0\d{1,4}\)?[\s/.‐‑-]\d{2,8}(?:[\s.‐‑-]\d{2,5}){0,4}", r"0\d(?:[\s.]\d{2}){4}", r"[67]\d{2}[\s.]\d{3}[\s.]\d{3}", r"0[1-9]\d{8,9}",
 )]
 _ID_FORMS = [re.compile(p) for p in (
-    r"\d{3}[\s‐‑-]\d{2}[\s‐‑-]\d{4}", r"[A-Za-z]{2}[ -]?\d{2} ?\d{2} ?\d{2}[ -]?[A-Da-d]", r"\d{8}[\s‐‑-]?[A-Za-z]", r"[XYZxyz][ -]?\d{7}[ -]?[A-Za-z]", r"\d{4}[\s‐‑-]\d{4}[\s‐‑-]\d{4}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{11}", r"\d{3}\.\d{3}\.\d{3}-\d{2}",
+    r"\d{3}[\s‐‑-]\d{2}[\s‐‑-]\d{4}", r"[A-Za-z]{2}[ -]?\d{2} ?\d{2} ?\d{2}[ -]?[A-Da-d]", r"\d{8}[\s‐‑-]?[A-Za-z]", r"[XYZxyz][ -]?\d{7}[ -]?[A-Za-z]", r"\d{4}[\s‐‑-]\d{4}[\s‐‑-]\d{4}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{11}", r"\d{1,2}\.\d{3}\.\d{3}[\s‐‑-]?[A-Za-z]", r"\d{3}\.\d{3}\.\d{3}-\d{2}",
 )]
 # Words that stand beside each kind in English, German, French and Spanish.
 _PHONE_LEFT = re.compile(r"(?:\b(?:call|ring|phone|tel|telefon|téléphone|teléfono|mobile|cell|whatsapp|number is|nummer ist|numéro est|desk on|reach\b.{0,20} on|ruf|anrufen|appelle\w*|llámame al|fax|sms|text|handy|móvil|dial)\b[.: ]*)$", re.I)
@@ -66,7 +66,7 @@ _MAIL_NEAR = re.compile(r"(?:\b(?:e-?mail|mail is|correo|contact|kontakt|write t
 _STREET_NEAR = re.compile(r"(?:\b(?:at|to|addr(?:ess)?|adresse|dirección|oficina en|office|est au|est à|wohnt|uns|vive en|live[sd]? (?:at|in)|keys at)\b[ :]*)$", re.I)
 _NAME_LEFT = re.compile(r"(?:\b(?:thanks to|ask|met|intro|signed|slides by|talk by|written by|gracias a|merci à|danke an|cc|from|regards|with|hi|hello|hallo|dear|by|dr|prof|mr|mrs|ms|herr|frau|sr|sra|mme)\b[.,: ]*)$", re.I)
 _NAME_RIGHT = re.compile(r"^[,: ]*(?:for the|about the|por el|hat (?:das|den|die)|gave the|said\b|works on|at the meetup|are great|is the owner|will\b|wrote|a dit|dijo|schrieb)", re.I)
-_ORDINARY = frozenset("the a an my our this that one each whoever der die das unser unsere le la el les los las nuestro notre cette esta ein eine un une wir ich you we they he she it in on at for and or but so if when what who how why where hat has had with from to of by ask call thanks met gracias merci danke schreib write contact order host build ping clone street road board period feed export ticket open has anyone not hope sharing latency grace steuer whatsapp tel ruf mi me as is are was were be been will would".split())
+_ORDINARY = frozenset("the a an my our this that one each whoever der die das unser unsere le la el les los las nuestro notre cette esta ein eine un une wir ich you we they he she it in on at for and or but so if when what who how why where hat has had with from to of by ask call thanks met gracias merci danke schreib write contact order host build ping clone street road board period feed export ticket open has anyone not sharing latency signed intro slides mail cc steuer whatsapp tel ruf mi me as is are was were be been will would".split())
 
 
 class Lexicon:
@@ -134,15 +134,15 @@ def number_spans(text: str) -> Iterator[tuple]:
         start, end = m.span()
         found = m.group()
         # Letters belong to the number only where an identity number has them.
-        if not any(p.fullmatch(found) for p in _ID_FORMS):
-            cut = re.match(r"[A-Za-z]{2}[ -]?", found)
-            if cut:
-                start, found = start + cut.end(), found[cut.end() :]
-            tail = re.search(r"[ ‐‑-]?[A-Za-z]$", found)
-            if tail:
-                if text[end - 1 : end].isalpha() and not found[tail.start()] in " ":
-                    continue
-                end, found = end - len(tail.group()), found[: tail.start()]
+        lead = re.match(r"[A-Za-z]{2}[ -]?", found)
+        tail = re.search(r"[ ‐‑-]?[A-Za-z]$", found)
+        first, last = lead.end() if lead else 0, len(tail.group()) if tail else 0
+        ways = [(0, 0), (first, 0), (0, last), (first, last)]
+        left_off, right_off = next((w for w in ways if any(p.fullmatch(found[w[0] : len(found) - w[1]]) for p in _ID_FORMS)), (first, last))
+        if right_off == last == 1:
+            continue  # a letter without gap that no form knows: part of a code
+        start, end = start + left_off, end - right_off
+        found = text[start:end]
         if found.startswith("(") and ")" not in found:
             start, found = start + 1, found[1:]
         digits = sum(c.isdigit() for c in found)
@@ -194,7 +194,7 @@ def name_spans(text: str, lexicon: Lexicon) -> Iterator[tuple]:
         if at <= taken or len(first) < 2:
             continue
         g1, f1, o1 = kinds[at]
-        if not (g1 or f1) and (o1 or not first[0].isupper()) or first.casefold() in _TITLES:
+        if not (g1 or f1) and (o1 or not first[0].isupper() and not kinds[at + 1][1]) or first.casefold() in _TITLES:
             continue
         k, middle = at + 1, 0
         while k < len(tokens) and len(tokens[k][2]) == 1 and tokens[k][2].isupper() and middle < 3 and text[stop : tokens[k][0]].strip(".") in ("", " "):
@@ -211,12 +211,14 @@ def name_spans(text: str, lexicon: Lexicon) -> Iterator[tuple]:
         strong = (g1 and f2) or (f1 and g2)
         ordinary = o1 or o2
         half = (g1 or g2 or f1 or f2) and capital and not ordinary
-        if not strong and (not capital or ordinary):
+        if not strong and (ordinary or not capital and not (f1 or f2 or g1)):
             continue
         left, right = _around(text, start, end)
         lv, rv = _NAME_LEFT.search(left), _NAME_RIGHT.match(right)
-        if not strong and not half and not (lv and rv):
+        # Small letters need more to go by: a family name and one neighbour, or both neighbours.
+        if not strong and not half and not (lv and rv) and not ((f1 or f2) and (lv or rv) and first[0].isupper() == second[0].isupper()):
             continue
+        half = half or not capital
         if comma and g1 and f2 and not (f1 and g2):
             # A family name comes first where a comma parts the two; the other way round is a list.
             strong = False
