@@ -82,8 +82,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = materialise(token_counts(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", ["source", "text"]), "sizes")
-    return mixture(sizes, table(spark, sf_dir, "mixture_targets"))
+    sizes = materialise(token_counts(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", ["source"]), "sizes")
+    return mixture(sizes, table(spark, sf_dir, "mixture_targets"), texts=table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
