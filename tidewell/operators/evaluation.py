@@ -79,7 +79,9 @@ def win_tie_loss(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
 def paired_bootstrap(a: DataFrame, b: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """(mean_delta, low, high, verdict): percentile interval over resampled queries, from the standard library's stream for the seed."""
     d = a.select("query_id", F.coalesce("ndcg", F.lit(0.0)).alias("x")).join(b.select("query_id", F.coalesce("ndcg", F.lit(0.0)).alias("y")), "query_id").orderBy("query_id")
-    deltas = np.array([r.y - r.x for r in d.limit(BOOTSTRAP_QUERIES).collect()])
+    deltas = np.array([r.y - r.x for r in d.limit(BOOTSTRAP_QUERIES + 1).collect()])
+    if len(deltas) > BOOTSTRAP_QUERIES:
+        raise ValueError(f"more than {BOOTSTRAP_QUERIES} queries")
     if not len(deltas):
         return a.sparkSession.createDataFrame([], "mean_delta double, low double, high double, verdict string")
     rng = random.Random(seed)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
+from tidewell.session import broadcast_if_small
 
 #: Reasons for which a person is asked to paste the page.
 ASK_REASONS = ["truncated", "paywall", "auth_required"]
@@ -114,7 +115,7 @@ def browse_topic(items: DataFrame, asked: DataFrame) -> DataFrame:
 def suggest_topics(groups: DataFrame, asked: DataFrame, most: int = 5) -> DataFrame:
     """For a topic that isn't there: those that contain it or lie in it, nearest in length, then by name."""
     a = asked.select(F.col("name").alias("asked"), T.topic_key(F.col("name")).alias("akey")).distinct()
-    near = F.broadcast(a.limit(1000)).join(groups, F.col("key").contains(F.col("akey")) | F.col("akey").contains(F.col("key")))
+    near = broadcast_if_small(a, 1000).join(groups, F.col("key").contains(F.col("akey")) | F.col("akey").contains(F.col("key")))
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.abs(F.length("key") - F.length("akey")), "canonical"))
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("asked", "rank", "canonical", "n_items")
 
