@@ -78,3 +78,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where a small input comes in fewer parts than there are; a large one stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of earlier jobs; call it only when no result that reads them is still to be computed."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = fs.Path(f"{scratch_root(spark)}/tidewell")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
