@@ -75,6 +75,13 @@ def skip_transition(links: DataFrame, asked: DataFrame) -> DataFrame:
     return known.select("url", outcome.alias("outcome"), F.when(outcome == "skipped", "skipped").otherwise(F.col("status")).alias("status"))
 
 
+def restorable_links(scraped: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Each url of scraped (url, status, summary, what_it_is, problem_solved) once that has content and isn't among the indexed (url); no status counts as scraped."""
+    content = F.concat(*[T.strip(F.coalesce(c, F.lit(""))) for c in ("summary", "what_it_is", "problem_solved")])
+    rows = scraped.where((F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("scraped")) == "scraped") & (content != "")).select("url").distinct()
+    return rows.join(indexed.select("url").distinct(), "url", "left_anti")
+
+
 def attribution(edges: DataFrame) -> DataFrame:
     """url -> earliest stamp of the messages that carry it, compared as text."""
     return edges.where("url is not null").groupBy("url").agg(F.min("sent_at").alias("first_sent_at"), F.countDistinct("msg_id").alias("n_messages"))

@@ -89,12 +89,19 @@ def link_attribution(spark, sf_dir):
 
 
 def restore_candidates(spark, sf_dir):
-    """Good messages and links with content that are in neither index: what a rebuild has to bring back."""
+    """Good messages that aren't indexed: the half of `restore_all` that its SQL tells."""
     good = table(spark, sf_dir, "grades", "grade_id", "msg_id", "quality").distinct().where(F.col("quality") >= MIN_QUALITY).select("msg_id").distinct()
     indexed = table(spark, sf_dir, "documents", "doc_id", "candidate_type").where("candidate_type = 'message'").select(F.col("doc_id").alias("msg_id"))
     return good.join(indexed, "msg_id", "left_anti")
 
 
+def restore_all(spark, sf_dir):
+    """Good messages (by id) and links with content (by url) that are in neither index: what a rebuild has to bring back."""
+    indexed = table(spark, sf_dir, "documents", "candidate_type", "url").where("candidate_type = 'link'")
+    messages = restore_candidates(spark, sf_dir).select(F.lit("message").alias("kind"), F.col("msg_id").cast("string").alias("item"))
+    return messages.unionByName(L.restorable_links(_scraped(spark, sf_dir), indexed).select(F.lit("link").alias("kind"), F.col("url").alias("item")))
+
+
 def _items(spark, sf_dir):
     return L.topic_items(table(spark, sf_dir, "grades", "msg_id", "topics"), table(spark, sf_dir, "scraped_links", "link_id", "topics"))
 
@@ -158,7 +165,7 @@ def watch_renewal(spark, sf_dir):
     return rows.where("status = 'active'").select("channel_id", "installation_id", L.renewal_due(at, F.lit(NOW)).alias("due"), F.date_format(F.timestamp_millis(at), "yyyy-MM-dd HH:mm 'UTC'").alias("expires"))
 
 
-QUERIES = {f.__name__: f for f in (extract_links, url_classify, web_outcome, outcome_routing, pending_links, link_previews, seen_url_first, replace_current, link_merge, skip_transition, link_coverage, link_attribution, restore_candidates, topic_groups, topic_neighbours, topic_browse, topic_suggest, messages_filtered, item_lookup, category_backfill, command_routing, watch_renewal)}
+QUERIES = {f.__name__: f for f in (extract_links, url_classify, web_outcome, outcome_routing, pending_links, link_previews, seen_url_first, replace_current, link_merge, skip_transition, link_coverage, link_attribution, restore_candidates, restore_all, topic_groups, topic_neighbours, topic_browse, topic_suggest, messages_filtered, item_lookup, category_backfill, command_routing, watch_renewal)}
 
 _S = "s as (select distinct link_id, url, status, final_url, title, source, raw_text, summary, what_it_is, problem_solved, how_useful, scraped_at, sent_at, message_context.msg_id as msg_id from scraped_links)"
 _A = "a as (select distinct ask_id, url, status, block_reason, created_at, resolved, sent_at, message_context.msg_id as msg_id from ask_links)"
@@ -195,6 +202,8 @@ select url, coalesce(nullif(n.status, ''), o.status) as status, coalesce(n.title
     "link_coverage": f"with {_S} select source, count(*) as n, " + ", ".join(f"count(*) filter (trim(coalesce({c}, '')) <> '') as {c}" for c in ("summary", "what_it_is", "problem_solved", "how_useful", "raw_text")) + ", max(length(s.raw_text)) as longest, round(avg(length(s.raw_text)), 6) as mean_length from s group by 1",
     "link_attribution": f"with {_S}, {_A} select url, min(sent_at) as first_sent_at, count(distinct msg_id) as n_messages from (select url, sent_at, msg_id from s union all select url, sent_at, msg_id from a) where url is not null group by 1",
     "restore_candidates": "select distinct msg_id from grades where quality >= 4 and msg_id is not null and msg_id not in (select doc_id from documents where candidate_type = 'message')",
+    "restore_all": """select 'message' as kind, msg_id::varchar as item from (select distinct msg_id from grades where quality >= 4 and msg_id is not null and msg_id not in (select doc_id from documents where candidate_type = 'message'))
+union all select 'link', url from (select distinct url from scraped_links where coalesce(nullif(status, ''), 'scraped') = 'scraped' and trim(coalesce(summary, '') || coalesce(what_it_is, '') || coalesce(problem_solved, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' and url not in (select url from documents where candidate_type = 'link' and url is not null))""",
     "topic_groups": f"with {_ITEMS}, {_GROUPS} select * from groups",
     "topic_neighbours": f"with {_ITEMS}, k as (select distinct item, key from ii), p as (select a.key, b.key as other, count(*) as shared from k a join k b on a.item = b.item and a.key <> b.key group by all), r as (select *, row_number() over (partition by key order by shared desc, other) as rank from p) select * from r where rank <= 5",
     "topic_browse": f"with {_ITEMS}, q as (select distinct {_KEY.format(c='name')} as key from (values {_ASKSQL}) t(name)) select distinct key, item from ii join q using (key)",
