@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
+from tidewell.operators.instants import InstantDictionary, normalise_instants
 from tidewell.operators.ordered import last_marked, row_numbers
+from tidewell.session import broadcast_if_small
 
 MIN_QUALITY, BORDERLINE, CONTEXT = 4, 3, 3
 #: Messages of a source that are packed together; a batch never spans two such stretches.
@@ -20,6 +22,16 @@ _DATES = ["d/M/yyyy", "d/M/yy"]
 _TIMES = ["h:mm:ss a", "h:mm a", "H:mm:ss", "H:mm"]
 
 
+def dated(messages: DataFrame, zones: DataFrame) -> DataFrame:
+    """messages (source_id, pos, datetime_iso, text) with text and a readable stamp -> (source_id, pos, ts, text), whole-row copies once.
+
+    Stamps are read by the instant dictionary; one without zone is local to that of zones (source_id, zone).
+    """
+    told = messages.where("text is not null").join(broadcast_if_small(zones), "source_id", "left")
+    rows = told.select(F.lit("messages").alias("tbl"), F.struct("source_id", "pos", "text").alias("row_key"), F.col("datetime_iso").alias("raw"), "zone")
+    return normalise_instants(rows, InstantDictionary(messages.sparkSession)).select("row_key.source_id", "row_key.pos", F.timestamp_micros("utc_us").alias("ts"), "row_key.text")
+
+
 def export_lines(messages: DataFrame) -> DataFrame:
     """messages (source_id, pos, ts, text) -> lines (source_id, line_no, line) of an export with a placeholder author.
 

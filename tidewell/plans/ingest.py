@@ -21,13 +21,20 @@ def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_roundtrip(spark, sf_dir):
-    """Messages with plain stamps written as export lines and parsed back."""
+    """Messages with plain stamps written as export lines and parsed back: the part of `chat_roundtrip_all` that its SQL tells."""
     ts = F.try_to_timestamp(F.col("datetime_iso"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     rows = _messages(spark, sf_dir).where(F.col("datetime_iso").rlike(_PLAIN)).select("source_id", "pos", ts.alias("ts"), "text").where("ts is not null and text is not null").distinct()
     parsed = I.parse_export(I.export_lines(rows))
     return parsed.select("source_id", F.floor(F.col("line_no") / 100_000).alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "text", "is_media")
 
 
+def chat_roundtrip_all(spark, sf_dir):
+    """Messages with text and a stamp in any readable form written as export lines, at their instant in UTC, and parsed back."""
+    zones = table(spark, sf_dir, "ingestion_sources", "source_id", "tz_name").groupBy("source_id").agg(F.min("tz_name").alias("zone"))
+    parsed = I.parse_export(I.export_lines(I.dated(_messages(spark, sf_dir), zones)))
+    return parsed.select("source_id", F.floor(F.col("line_no") / 100_000).alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "text", "is_media")
+
+
 def heuristic_filter(spark, sf_dir):
     return I.with_reasons(_messages(spark, sf_dir)).select("msg_id", "reason").distinct()
 
@@ -158,7 +165,7 @@ def model_replies(spark, sf_dir):
     return df.select("reply_id", F.size(grades).cast("long").alias("n"), F.array_join(F.transform(grades, lambda g: F.greatest(F.lit(1), F.least(F.lit(5), g["quality"])).cast("string")), ",").alias("qualities"))
 
 
-QUERIES = {f.__name__: f for f in (chat_roundtrip, heuristic_filter, heuristic_reason_counts, message_identity, point_ids, unseen_messages, import_outcomes, token_estimates, batch_packing, split_text, context_window, pass2_merge, chunk_grade_merge, grade_normalise, grade_distribution, category_stats, duplicates_reposts, store_fingerprint, phone_gate, self_introduction, enrichment_rollup, revision_skip, latency_percentiles, model_replies)}
+QUERIES = {f.__name__: f for f in (chat_roundtrip, chat_roundtrip_all, heuristic_filter, heuristic_reason_counts, message_identity, point_ids, unseen_messages, import_outcomes, token_estimates, batch_packing, split_text, context_window, pass2_merge, chunk_grade_merge, grade_normalise, grade_distribution, category_stats, duplicates_reposts, store_fingerprint, phone_gate, self_introduction, enrichment_rollup, revision_skip, latency_percentiles, model_replies)}
 
 _WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
