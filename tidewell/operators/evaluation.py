@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 K, DEPTH, RELEVANT, THRESHOLD, BAND = 5, 30, 2, 0.25, 0.01
 THRESHOLDS = [round(0.20 + 0.05 * i, 2) for i in range(9)]
 RESAMPLES, SEED = 10_000, 42
-#: Queries a bootstrap takes at most: its index matrix lies on the driver.
-BOOTSTRAP_QUERIES = 20_000
+#: Numbers a bootstrap draws at once.
+DRAWN = 1 << 20
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -76,16 +76,33 @@ def win_tie_loss(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
     return d.agg(F.count_if(F.col("d") > band).alias("wins"), F.count_if(F.abs("d") <= band).alias("ties"), F.count_if(F.col("d") < -band).alias("losses"), F.round(F.avg("d"), 6).alias("mean_delta"))
 
 
+def _resampled_means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """The means of resamples, drawn one after another as random.Random(seed).randrange(len(values)) draws; DRAWN numbers lie in memory at once."""
+    n, bits = len(values), np.random.MT19937()
+    *key, pos = random.Random(seed).getstate()[1]
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, dtype=np.uint32), "pos": pos}}
+    sums, at = np.zeros(resamples), 0
+    while at < n * resamples:
+        # randrange takes the upper bits of each number and passes over those that are too large.
+        drawn = bits.random_raw(DRAWN) >> np.uint64(32 - n.bit_length())
+        drawn = drawn[drawn < n][: n * resamples - at]
+        owner = np.arange(at, at + len(drawn)) // n
+        if len(drawn):
+            sums[owner[0] : owner[-1] + 1] += np.bincount(owner - owner[0], weights=values[drawn])
+        at += len(drawn)
+    return sums / n
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(mean_delta, low, high, verdict): percentile interval over resampled queries, from the standard library's stream for the seed."""
+    """(mean_delta, low, high, verdict): percentile interval over resampled queries, from the standard library's stream for the seed.
+
+    The driver holds one number a query.
+    """
     d = a.select("query_id", F.coalesce("ndcg", F.lit(0.0)).alias("x")).join(b.select("query_id", F.coalesce("ndcg", F.lit(0.0)).alias("y")), "query_id").orderBy("query_id")
-    deltas = np.array([r.y - r.x for r in d.limit(BOOTSTRAP_QUERIES + 1).collect()])
-    if len(deltas) > BOOTSTRAP_QUERIES:
-        raise ValueError(f"more than {BOOTSTRAP_QUERIES} queries")
+    deltas = d.select((F.col("y") - F.col("x")).alias("d")).toPandas()["d"].to_numpy(dtype=float)
     if not len(deltas):
         return a.sparkSession.createDataFrame([], "mean_delta double, low double, high double, verdict string")
-    rng = random.Random(seed)
-    means = np.sort([deltas[[rng.randrange(len(deltas)) for _ in deltas]].mean() for _ in range(resamples)])
+    means = np.sort(_resampled_means(deltas, resamples, seed))
     low, high = float(means[int(0.025 * resamples)]), float(means[int(0.975 * resamples) - 1])
     verdict = "improved" if low > 0 else "worse" if high < 0 else "no detectable difference"
     return a.sparkSession.createDataFrame([(round(float(deltas.mean()), 6), round(low, 6), round(high, 6), verdict)], "mean_delta double, low double, high double, verdict string")

@@ -73,7 +73,7 @@ def win_tie_loss(spark, sf_dir):
 
 def paired_bootstrap(spark, sf_dir):
     dense, _, fused, qrels = _all(spark, sf_dir)
-    return V.paired_bootstrap(V.ranking_metrics(dense, qrels), V.ranking_metrics(fused, qrels), 2000)
+    return V.paired_bootstrap(V.ranking_metrics(dense, qrels), V.ranking_metrics(fused, qrels))
 
 
 def unjudged_at_k(spark, sf_dir):
