@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.operators.instants import InstantDictionary, normalise_instants
-from tidewell.operators.ordered import last_marked, row_numbers
+from tidewell.operators.ordered import greedy_batches, last_marked, row_numbers
 from tidewell.session import broadcast_if_small
 
 MIN_QUALITY, BORDERLINE, CONTEXT = 4, 3, 3
-#: Messages of a source that are packed together; a batch never spans two such stretches.
-STRETCH = 512
 
 HEADER = r"^(\d{1,2}/\d{1,2}/\d{2,4}), (\d{1,2}:\d{2}(?::\d{2})?(?:[\x{20}\x{A0}\x{202F}][AaPp][Mm])?)(?: -)? (.*)$"
 _DATES = ["d/M/yyyy", "d/M/yy"]
@@ -90,25 +88,14 @@ def import_outcomes(messages: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def packed_batches(messages: DataFrame, budget: int = 2000, most: int = 5) -> DataFrame:
-    """messages (source_id, pos, msg_id, text) -> (source_id, stretch, batch_no, msg_id, tokens): greedy batches in order.
+    """messages (source_id, pos, msg_id, text) -> (source_id, batch_no, msg_id, tokens): greedy batches of each source in order.
 
-    A new batch starts when the budget or the number of messages would be exceeded. Stretches of
-    STRETCH positions are packed apart, so a source of any size is spread.
+    A new batch starts when the budget or the number of messages would be exceeded. A source of any
+    size is spread: what each partition makes of every batch that may be open before it is a
+    summary of one row, and chaining these tells the batch that is open.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "msg_id"])
-        batch, used, n, out = 0, 0, 0, []
-        for tokens in pdf["tokens"]:
-            if n and (used + tokens > budget or n >= most):
-                batch, used, n = batch + 1, 0, 0
-            used, n = used + tokens, n + 1
-            out.append(batch)
-        pdf["batch_no"] = out
-        return pdf[["source_id", "stretch", "batch_no", "msg_id", "tokens"]]
-
-    rows = messages.where("text is not null and pos is not null").select("source_id", F.floor(F.col("pos") / STRETCH).alias("stretch"), "pos", "msg_id", T.estimated_tokens(F.col("text")).alias("tokens")).distinct()
-    return rows.groupBy("source_id", "stretch").applyInPandas(fold, "source_id string, stretch long, batch_no long, msg_id long, tokens long")
+    rows = messages.where("text is not null and pos is not null").select("source_id", "pos", "msg_id", T.estimated_tokens(F.col("text")).alias("tokens")).distinct()
+    return greedy_batches(rows, ["source_id"], ["pos", "msg_id", "tokens"], "tokens", budget, most, "batch_no").select("source_id", "batch_no", "msg_id", "tokens")
 
 
 def text_pieces(texts: DataFrame, key: str, column: str, step: int) -> DataFrame:
