@@ -1,9 +1,9 @@
 """Values that end before their original did.
 
 Three kinds of evidence, all joins by prefix over every value:
-1. a value is a strict prefix of a longer copy elsewhere and breaks off inside a word or sentence;
+1. a value is a strict prefix of a longer copy elsewhere and breaks off inside a word or sentence, or anywhere once it is too long to be a stock sentence;
 2. its last words, as a hashed window, run on in other texts and do not end there;
-3. its length is one at which values of the field pile up, and it is unfinished.
+3. its length is one at which values of the field pile up, and it is unfinished, or one at which mostly unfinished values of its host pile up.
 Marks that a cut leaves behind (an ellipsis with "more", half an escape) settle a value alone.
 """
 
@@ -28,6 +28,8 @@ PILE, PILE_LEAST, AROUND = 5.0, 8, 12
 END_SHARE = 0.08
 #: Shortest value whose longer copies are looked up, and shortest length that can be a cut width.
 SHORTEST, PREFIX = 16, 24
+#: Length from which a finished value with a longer copy is no stock sentence that other texts open with as well.
+COPIED = 100
 LINE = "⏎"
 #: Contexts up to which the workers get them whole and count by themselves; beyond, windows and contexts are joined.
 CONTEXTS = 200_000
@@ -148,32 +150,41 @@ def cut_values(values: DataFrame) -> DataFrame:
     """
     values = values.where("text is not null and trim(text) <> ''")
     prose = spread(values.where("not codes"))
-    tails = prose.select("tbl", "row_id", "field", "host", F.length("text").alias("len"), F.octet_length("text").alias("bytes"), _tails("text", "host").alias("t")).select("*", "t.*").drop("t").distinct()
+    # Prefixes are hashed at lengths that are powers of two.
+    level = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
+    tails = prose.select("tbl", "row_id", "field", "host", F.length("text").alias("len"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("same"), level(F.length("text")).alias("k"), F.xxhash64(F.substring("text", F.lit(1), level(F.length("text")))).alias("h"), _tails("text", "host").alias("t")).select("*", "t.*").drop("t").distinct()
     tails = materialise(tails, "tails")
     # 3: lengths, in characters and in bytes, at which values pile up.
-    piled = []
+    piled, limits = [], []
     for size in ("len", "bytes"):
         around = Window.partitionBy("tbl", "field").orderBy(size).rangeBetween(-AROUND, AROUND)
         sizes = tails.groupBy("tbl", "field", size).agg(F.count(F.lit(1)).alias("n"))
         piles = sizes.withColumn("near", (F.sum("n").over(around) - F.col("n")) / (2 * AROUND)).where(f"n >= {PILE_LEAST} and n >= {PILE} * near and {size} > {PREFIX}")
         piled.append(broadcast_if_small(piles.select("tbl", "field", size, F.lit(True).alias(f"piled_{size}"))))
+        # A host's own limit holds whatever the last character; equal texts count once, and a page the host repeats is mostly finished.
+        inside = Window.partitionBy("tbl", "field", "host").orderBy(size).rangeBetween(-AROUND, AROUND)
+        own = tails.groupBy("tbl", "field", "host", size, "same").agg(F.min("state").alias("state")).groupBy("tbl", "field", "host", size).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == 0).alias("finished"))
+        own = own.withColumn("near", (F.sum("n").over(inside) - F.col("n")) / (2 * AROUND)).where(f"n >= {PILE_LEAST} and n >= {PILE} * near and 2 * finished <= n and {size} > {PREFIX}")
+        limits.append(broadcast_if_small(own.select("tbl", "field", "host", size, F.lit(True).alias(f"limit_{size}"))))
     # 2: how the last words of unfinished values go on elsewhere: three words, else the last two.
     open_tails = tails.where("state in (1, 2, 4)").groupBy("a", "b", _core("w").alias("w")).agg(F.count(F.lit(1)).alias("own"), F.sum(F.when(F.col("state") == 4, 1).otherwise(0)).alias("dotted"))
     tally = materialise(_tally(open_tails, _grams(open_tails, prose, ["a", "b"]), ["a", "b"], "3"), "tally")
     alone = tally.where("ended3 + dots3 + onward3 + grown3 = 0").select("b", "w").distinct()
     pairs = _tally(alone, _grams(alone, prose, ["b"]), ["b"], "2")
-    # 1: a longer copy that goes on where this value ends. Prefixes are hashed at lengths that are powers of two,
-    # so a short value meets only texts that share more than half of it, each distinct continuation once.
-    level = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
-    ends = prose.where(F.length("text") >= SHORTEST).join(broadcast_if_small(tails.where("state in (1, 2)").select("tbl", "row_id", "field")), ["tbl", "row_id", "field"], "left_semi")
+    # 1: a longer copy that goes on where this value ends. A short value meets only texts that share more than half
+    # of it, each distinct continuation once; only values whose hashed prefix a longer text has are looked at.
+    steps = F.transform(F.sequence(F.lit(SHORTEST.bit_length() - 1), F.floor(F.log2(F.length("text"))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+    opened = prose.where(F.length("text") > SHORTEST).select("text", F.explode(steps).alias("k")).where("length(text) > k").select("text", "k", F.xxhash64(F.expr("substring(text, 1, k)")).alias("h"))
+    longest = opened.groupBy("k", "h").agg(F.max(F.length("text")).alias("longest"))
+    open_ends = tails.where(f"len >= {SHORTEST} and (state in (1, 2) or state = 0 and len >= {COPIED})")
+    open_ends = materialise(open_ends.join(longest, ["k", "h"]).where("longest > len").select("tbl", "row_id", "field", "k", "h"), "open_ends")
+    ends = prose.where(F.length("text") >= SHORTEST).join(broadcast_if_small(open_ends.select("tbl", "row_id", "field").distinct()), ["tbl", "row_id", "field"], "left_semi")
     ends = ends.select("tbl", "row_id", "field", level(F.length("text")).alias("k"), F.col("text").alias("t")).select("tbl", "row_id", "field", "k", F.xxhash64(F.expr("substring(t, 1, k)")).alias("h"), F.expr("substring(t, k + 1)").alias("rest"))
     ends = materialise(ends, "ends")
-    steps = F.transform(F.sequence(F.lit(SHORTEST.bit_length() - 1), F.floor(F.log2(F.length("text"))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
-    starts = prose.where(F.length("text") > SHORTEST).select("text", F.explode(steps).alias("k")).where("length(text) > k").select("k", F.xxhash64(F.expr("substring(text, 1, k)")).alias("h"), F.expr("substring(text, k + 1, k)").alias("next"))
-    starts = starts.join(broadcast_if_small(ends.select("k", "h").distinct()), ["k", "h"], "left_semi").distinct()
+    starts = opened.join(broadcast_if_small(open_ends.select("k", "h").distinct()), ["k", "h"], "left_semi").select("k", "h", F.expr("substring(text, k + 1, k)").alias("next")).distinct()
     copied = ends.join(starts, ["k", "h"]).where(F.startswith(F.col("next"), F.col("rest")) & (F.length("next") > F.length("rest"))).select("tbl", "row_id", "field", F.lit(True).alias("copied")).distinct()
     judged = tails.withColumn("w", _core("w"))
-    for rows, keys in ((piled[0], ["tbl", "field", "len"]), (piled[1], ["tbl", "field", "bytes"]), (tally, ["a", "b", "w"]), (pairs, ["b", "w"]), (copied, ["tbl", "row_id", "field"])):
+    for rows, keys in ((piled[0], ["tbl", "field", "len"]), (piled[1], ["tbl", "field", "bytes"]), (limits[0], ["tbl", "field", "host", "len"]), (limits[1], ["tbl", "field", "host", "bytes"]), (tally, ["a", "b", "w"]), (pairs, ["b", "w"]), (copied, ["tbl", "row_id", "field"])):
         judged = judged.join(rows, keys, "left")
     n = lambda c: F.coalesce(c, F.lit(0))
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -184,9 +195,10 @@ def cut_values(values: DataFrame) -> DataFrame:
     usual = (n("own") >= 3) & (n("grown3") == 0)
     runs_on = (three | two) & (ended < END_SHARE * (ended + rest)) & ~(usual & (rest3 == 0))
     unknown = ~three & ~two & ~usual & F.col("w").rlike(r"[\p{L}\p{N}]$")
-    pile = yes("piled_len") | yes("piled_bytes")
+    limit = yes("limit_len") | yes("limit_bytes")
+    pile = yes("piled_len") | yes("piled_bytes") | limit
     trails_off = (n("dotted") + n("dots3") >= 2) & (n("dotted") + n("dots3") > n("ended3") + rest3)
-    cut = (F.col("state") == 3) | (F.col("state") == 4) & ~trails_off | (F.col("state") == 2) & (pile | runs_on | unknown) | (F.col("state") == 1) & pile | F.col("state").isin(1, 2) & yes("copied")
+    cut = (F.col("state") == 3) | (F.col("state") == 4) & ~trails_off | (F.col("state") == 2) & (pile | runs_on | unknown) | (F.col("state") == 1) & pile | (F.col("state") == 0) & limit | F.col("state").isin(0, 1, 2) & yes("copied")
     prose_out = judged.select("tbl", "row_id", "field", "host", cut.alias("cut"))
     return prose_out.unionByName(_cut_codes(values.where("codes")))
 
