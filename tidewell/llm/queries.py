@@ -10,7 +10,7 @@ from tidewell.llm.cooccurrence import baskets, frequent_pairs
 from tidewell.llm.mixing import mixture, mixture_shares
 from tidewell.llm.packing import container_lists, fill_report, pack
 from tidewell.llm.personal import personal_data, redacted, table_texts
-from tidewell.llm.sentences import sentences
+from tidewell.llm.sentences import sentence_places, sentences
 from tidewell.llm.spellings import same_spellings, spelling_entities
 from tidewell.llm.tokens import token_counts
 from tidewell.llm.truncation import cut_values, link_values, truncation_by_host
@@ -99,7 +99,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p10_sentences(spark, sf_dir).select("doc_id", "end_pos")
+    return sentence_places(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "end_pos")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
