@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
+from tidewell.session import materialise, spread
 
-#: Open containers per partition and kind, and partitions merged into one in each round.
-OPEN, MERGE = 64, 16
+#: Open containers per partition and kind, partitions merged into one in each round, and kinds written into one plan.
+OPEN, MERGE, KINDS = 64, 16, 500
 
 SCHEMA = "container_kind string, capacity_tokens int, container_id string, doc_id long, piece_no int, first_token long, n_tokens long, closed boolean"
 
@@ -91,22 +92,22 @@ def pack(items: DataFrame, containers: DataFrame) -> DataFrame:
     used_tokens (of the whole container). A document is split only if it alone exceeds the
     capacity: into pieces that fill whole containers and a rest that is packed like any other.
     Items of no tokens, null ids, and containers without a positive capacity fall away; whole-row
-    copies count once; an empty table gives an empty result. The list of kinds must be short.
+    copies count once; an empty table, of documents or of containers, gives an empty result.
     """
-    kinds = sorted({(r.container_kind, r.capacity_tokens) for r in containers.where("capacity_tokens > 0 and container_kind is not null").select("container_kind", "capacity_tokens").limit(1001).collect()})
-    if len(kinds) > 1000:
-        raise ValueError("more than 1000 container kinds")
-    spark = items.sparkSession
+    kinds = sorted({(r.container_kind, r.capacity_tokens) for r in containers.where("capacity_tokens > 0 and container_kind is not null").select("container_kind", "capacity_tokens").collect()})
     items = items.where("doc_id is not null and n_tokens > 0").select("doc_id", "n_tokens").distinct()
-    told = F.broadcast(spark.createDataFrame(kinds, "container_kind string, capacity_tokens int"))
-    # Few kinds, so this multiplies rows by a constant; the broadcast side is the checked list above.
-    whole = items.join(told, F.lit(True)).withColumn("full", F.floor(F.col("n_tokens") / F.col("capacity_tokens")))
+    # Every document goes into a container of every kind: each row is written once per kind, KINDS of them in one pass.
+    written = [items.select("doc_id", "n_tokens", F.inline(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in kinds[i : i + KINDS]]))) for i in range(0, len(kinds), KINDS)]
+    if not written:
+        return items.sparkSession.createDataFrame([], SCHEMA).drop("closed")
+    whole = reduce(DataFrame.unionByName, written).withColumn("full", F.floor(F.col("n_tokens") / F.col("capacity_tokens")))
     capacity = F.col("capacity_tokens").cast("long")
     split = whole.where("full > 0").select("container_kind", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("piece_no"))
     filled = split.select("container_kind", "capacity_tokens", F.concat_ws("-", F.lit("w"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", (F.col("piece_no") * capacity).alias("first_token"), capacity.alias("n_tokens"))
     rest = whole.where("n_tokens % capacity_tokens > 0").select("container_kind", "doc_id", F.col("full").cast("int").alias("piece_no"), (F.col("full") * capacity).alias("first_token"), (F.col("n_tokens") - F.col("full") * capacity).alias("n_tokens"))
     rest = materialise(rest, "pieces")
     placed: list[DataFrame] = []
+    rest = spread(rest)
     parts, level = max(1, rest.rdd.getNumPartitions()), 0
     while True:
         packed = materialise(rest.mapInPandas(_pack(kinds, f"l{level}", parts == 1), SCHEMA), "packed")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.boilerplate import boilerplate_lines
 from tidewell.llm.cooccurrence import baskets, frequent_pairs
-from tidewell.llm.mixing import mixture, mixture_shares
+from tidewell.llm.mixing import mixture, mixture_shares, posterior_shares
 from tidewell.llm.packing import container_lists, fill_report, pack
 from tidewell.llm.personal import personal_data, redacted, table_texts
 from tidewell.llm.sentences import sentence_places, sentences
@@ -69,7 +69,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", [])
+    sizes = materialise(token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", []), "sizes")
     return pack(sizes, table(spark, sf_dir, "container_sizes"))
 
 
@@ -81,9 +81,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(_packed(spark, sf_dir))
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(token_counts(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", ["source"]), "sizes")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = materialise(token_counts(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", ["source"]), "sizes")
-    return mixture(sizes, table(spark, sf_dir, "mixture_targets"), texts=table(spark, sf_dir, "documents", "doc_id", "text"))
+    return mixture(_sized(spark, sf_dir), table(spark, sf_dir, "mixture_targets"), texts=table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +97,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(materialise(_mixed(spark, sf_dir), "mixed"), table(spark, sf_dir, "mixture_targets"))
 
 
+def p9_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix by the classifier's posteriors alone, as if no document but those of the sample had a label."""
+    return posterior_shares(_sized(spark, sf_dir), table(spark, sf_dir, "mixture_targets"), table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -102,7 +110,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_places(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "end_pos")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_posteriors": p9_posteriors, "p10_found": p10_found, "p10_sentences": p10_sentences}
 
 _PAIRS = """with r as (
   select distinct 'grade_topics' as field, grade_id as key, topics as items from grades
