@@ -3,8 +3,9 @@
 One pass over the texts finds candidate spans and the votes of the labelers (written form,
 gazetteer, words to the left, words to the right, counter-evidence). Vote patterns are counted
 over all rows; expectation-maximisation on those counts estimates how reliable each labeler is,
-and the soft labels train a classifier on hashed features of the spans. Only counts leave the
-executors: at most BUCKETS x classes numbers.
+and the soft labels train a classifier on hashed features of the spans, which learns from the
+corpus what stands beside each kind. Only counts leave the executors: at most BUCKETS x classes
+numbers.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ KINDS = ("none", "email", "phone", "id_number", "street_address", "person_name")
 NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 ABSTAIN = 6
 LABELERS = ("form", "lexicon", "left", "right", "counter")
-#: Hash buckets of the classifier's features, rounds of EM, and largest lexicon that is sent to the workers.
-BUCKETS, ROUNDS, LEXICON_ROWS = 4096, 25, 100_000
+#: Hash buckets of the classifier's features, rounds of EM, words of the lexicon up to which one pattern screens texts for them, and weight of the first belief in a labeler: so many votes, and so large a share of all.
+BUCKETS, ROUNDS, SCREENED, BELIEF, BELIEF_SHARE = 4096, 25, 2000, 20, 0.02
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", ID: "[ID_NUMBER]", ADDRESS: "[STREET_ADDRESS]", NAME: "[PERSON_NAME]"}
 
 _MAIL = re.compile(r"(?<![\w.+@/-])[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w@])")
@@ -58,14 +59,13 @@ _ID_FORMS = [re.compile(p) for p in (
 )]
 # Words that stand beside each kind in English, German, French and Spanish.
 _PHONE_LEFT = re.compile(r"(?:\b(?:call|ring|phone|tel|telefon|téléphone|teléfono|mobile|cell|whatsapp|number is|nummer ist|numéro est|desk on|reach\b.{0,20} on|ruf|anrufen|appelle\w*|llámame al|fax|sms|text|handy|móvil|dial)\b[.: ]*)$", re.I)
-_PHONE_RIGHT = re.compile(r"^[ .,;:]*(?:ext\b|after lunch|works best|no texts|till \w+|mañana|an\b|anrufen|any ?time)", re.I)
-_ID_LEFT = re.compile(r"(?:\b(?:ssn|nino?|ni number|national insurance|dni|nif|nie|passport|pass(?:eport|aporte)?|id|id card|ausweis\w*|steuer-?id\w*|steuernummer|tax (?:no\.?|number|id)|identity|social security|insee|aadhaar|cpf|personal\w*nummer|form shows|carte d.identité|my id)\b[.:# ]*)$", re.I)
-_ID_RIGHT = re.compile(r"^[ ,;:]*(?:was in the form|by mistake|in the paste|attached|para el registro|steht im|in clear text|on the invoice|again\b)", re.I)
+_PHONE_RIGHT = re.compile(r"^[ .,;:(]*(?:ext\b|extension\b|works best|any ?time|anrufen|\(?(?:mobile|office|home|cell)\b)", re.I)
+_ID_LEFT = re.compile(r"(?:\b(?:ssn|nino?|ni number|national insurance|dni|nif|nie|passport|pass(?:eport|aporte)?|id|id card|ausweis\w*|steuer-?id\w*|steuernummer|tax (?:no\.?|number|id)|identity|social security|insee|aadhaar|cpf|personal\w*nummer|carte d.identité|my id)\b[.:# ]*)$", re.I)
 _NOT_NUMBER = re.compile(r"(?:\b(?:order|ticket|invoice no|build|commit|version|v|host|port|latency|issue|pr|rev|revision|bestellung|commande|pedido|isbn|sku|tracking|ticket is|order no\.?)\b[.:# ]*)$", re.I)
 _MAIL_NEAR = re.compile(r"(?:\b(?:e-?mail|mail is|correo|contact|kontakt|write to|schreib an|cc|send\b.{0,20} to|went out as|courriel)\b[ :<(]*)$", re.I)
 _STREET_NEAR = re.compile(r"(?:\b(?:at|to|addr(?:ess)?|adresse|dirección|oficina en|office|est au|est à|wohnt|uns|vive en|live[sd]? (?:at|in)|keys at)\b[ :]*)$", re.I)
-_NAME_LEFT = re.compile(r"(?:\b(?:thanks to|ask|met|intro|signed|slides by|talk by|written by|gracias a|merci à|danke an|cc|from|regards|with|hi|hello|hallo|dear|by|dr|prof|mr|mrs|ms|herr|frau|sr|sra|mme)\b[.,: ]*)$", re.I)
-_NAME_RIGHT = re.compile(r"^[,: ]*(?:for the|about the|por el|hat (?:das|den|die)|gave the|said\b|works on|at the meetup|are great|is the owner|will\b|wrote|a dit|dijo|schrieb)", re.I)
+_NAME_LEFT = re.compile(r"(?:\b(?:thanks to|ask|met|signed|talk by|written by|gracias a|merci à|danke an|cc|from|regards|with|hi|hello|hallo|dear|by|dr|prof|mr|mrs|ms|herr|frau|sr|sra|mme)\b[.,: ]*)$", re.I)
+_NAME_RIGHT = re.compile(r"^[,: ]*(?:said\b|says\b|works (?:on|at|for)\b|is (?:the|our|my)\b|will\b|wrote\b|told\b|thinks\b|a dit\b|dijo\b|schrieb\b|sagte?\b)", re.I)
 _ORDINARY = frozenset("the a an my our this that one each whoever der die das unser unsere le la el les los las nuestro notre cette esta ein eine un une wir ich you we they he she it in on at for and or but so if when what who how why where hat has had with from to of by ask call thanks met gracias merci danke schreib write contact order host build ping clone street road board period feed export ticket open has anyone not sharing latency signed intro slides mail cc steuer whatsapp tel ruf mi me as is are was were be been will would".split())
 
 
@@ -79,7 +79,8 @@ class Lexicon:
         self.endings = self._shared(w[-n:] for w in self.family for n in (4, 5, 6, 7) if len(w) > n + 1)
         self.beginnings = self._shared(w[:n] for w in self.family for n in (3, 4, 5, 6) if len(w) > n + 1)
         words = sorted(self.given | self.family, key=len, reverse=True)
-        self.any = "(?i)" + "|".join([*map(re.escape, words), *sorted({re.escape(e) for e in self.endings if len(e) >= 5})]) if words else "$^"
+        #: What a text must hold so that a name can be in it: a word of the lexicon, an ending of its family names, or two words with capitals.
+        self.screen = r"\p{Lu}[\p{L}'’‐‑-]+[ ,.\x{A0}]+(?:\p{Lu}[ .\x{A0}]+){0,3}\p{Lu}" + "".join(f"|(?i:{re.escape(w)})" for w in [*words, *sorted(self.endings)]) if len(words) <= SCREENED else ""
 
     @staticmethod
     def _shared(parts) -> frozenset[str]:
@@ -152,7 +153,7 @@ def number_spans(text: str) -> Iterator[tuple]:
         phone, ident = any(p.fullmatch(found) for p in _PHONE_FORMS) and 8 <= digits <= 15, any(p.fullmatch(found) for p in _ID_FORMS)
         form = PHONE if phone and not ident else ID if ident and not phone else ABSTAIN if phone else NONE
         lv = PHONE if _PHONE_LEFT.search(left) else ID if _ID_LEFT.search(left) else ABSTAIN
-        rv = PHONE if _PHONE_RIGHT.match(right) else ID if _ID_RIGHT.match(right) else ABSTAIN
+        rv = PHONE if _PHONE_RIGHT.match(right) else ABSTAIN
         counter = NONE if _NOT_NUMBER.search(left) or re.match(r"\d{1,3}(?:\.\d{1,3}){3}$", found) else ABSTAIN
         yield start, end, found, (form, ABSTAIN, lv, rv, counter), _features(PHONE, found, left, right)
 
@@ -216,7 +217,7 @@ def name_spans(text: str, lexicon: Lexicon) -> Iterator[tuple]:
         left, right = _around(text, start, end)
         lv, rv = _NAME_LEFT.search(left), _NAME_RIGHT.match(right)
         # Small letters need more to go by: a family name and one neighbour, or both neighbours.
-        if not strong and not half and not (lv and rv) and not ((f1 or f2) and (lv or rv) and first[0].isupper() == second[0].isupper()):
+        if not strong and not half and not capital and not (lv and rv) and not ((f1 or f2) and (lv or rv) and first[0].isupper() == second[0].isupper()):
             continue
         half = half or not capital
         if comma and g1 and f2 and not (f1 and g2):
@@ -263,7 +264,7 @@ def _candidates_in(batches: Iterator[pa.RecordBatch], lexicon_rows: list[tuple[s
         "m": "@|(?i: at [^ ]+(?: dot |\\.)|[(\\[{] ?at ?[)\\]}])",
         "n": r"[0-9](?:[^0-9A-Za-z\n]{0,3}[0-9]){5}",
         "s": _STREET_SCREEN,
-        "p": lexicon.any + r"|thanks to|\bask |\bmet |intro:|signed,|slides by|gracias a|hat das|gave the",
+        "p": lexicon.screen,
     }
     for batch in batches:
         texts = batch.column("text")
@@ -274,19 +275,26 @@ def _candidates_in(batches: Iterator[pa.RecordBatch], lexicon_rows: list[tuple[s
         for i, (tbl, row_id, text) in enumerate(zip(picked.column("tbl").to_pylist(), picked.column("row_id").to_pylist(), picked.column("text").to_pylist())):
             which = "".join(k for k in "mnsp" if flags[k][i]) 
             if which:
-                yield tbl, row_id, text, spans(text, lexicon, which)
+                yield tbl, row_id, spans(text, lexicon, which)
+
+
+_SPANS = "tbl string, row_id long, start int, stop int, found_text string, pattern int, features array<int>"
+_SPAN_SCHEMA = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("found_text", pa.string()), ("pattern", pa.int32()), ("features", pa.list_(pa.int32()))])
 
 
 def _emit(batches: Iterator[pa.RecordBatch], lexicon_rows: list) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("found_text", pa.string()), ("pattern", pa.int32()), ("features", pa.list_(pa.int32()))])
     rows: list[tuple] = []
-    for tbl, row_id, _, found in _candidates_in(batches, lexicon_rows):
-        rows += [(tbl, row_id, s[2], _pattern(s[3]), s[4]) for s in found]
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SPAN_SCHEMA)], schema=_SPAN_SCHEMA)
+
+    for tbl, row_id, found in _candidates_in(batches, lexicon_rows):
+        rows += [(tbl, row_id, s[0], s[1], s[2], _pattern(s[3]), s[4]) for s in found]
         if len(rows) >= 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+            yield told()
             rows = []
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        yield told()
 
 
 class SpanModel:
@@ -304,7 +312,10 @@ def estimate(counts: dict[int, int]) -> dict[int, np.ndarray]:
     """EM on counted vote patterns -> class posteriors of each pattern.
 
     Labelers err independently given the class. Each begins with the belief that its votes are
-    right in nine of ten cases, which also is the prior that keeps rare votes from drifting.
+    right in nine of ten cases; this belief counts as BELIEF votes and BELIEF_SHARE of all, the
+    rest is estimated. Counter-evidence has one thing to say only: what is estimated is how often
+    it speaks up where there is no personal data; beside a real piece it does so once in 500, which
+    nothing but labels could tell better.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
@@ -314,41 +325,48 @@ def estimate(counts: dict[int, int]) -> dict[int, np.ndarray]:
     for j in range(len(LABELERS)):
         seen = votes[:, j] < ABSTAIN
         named[np.nonzero(seen)[0], votes[seen, j]] = True
-    named[:, NONE] = True
+    # Only a number that both forms fit has no vote at all: what stands beside it decides.
+    open_ = ~named.any(axis=1)
+    named[np.ix_(open_, [PHONE, ID])] = True
+    named[:, NONE] = ~open_
     right = np.full((len(LABELERS), 6, 6), 0.1 / 5)
     for j in range(len(LABELERS)):
         np.fill_diagonal(right[j], 0.9)
-    # Counter-evidence is written to be decisive where it speaks, and isn't re-estimated.
-    right[LABELERS.index("counter")] = 0.002
-    right[LABELERS.index("counter"), NONE, NONE] = 0.99
+    counter = LABELERS.index("counter")
+    against = votes[:, counter] < ABSTAIN
+    first = np.where(np.arange(6) == NONE, 0.5, 0.002)
+    speaks, belief = first.copy(), BELIEF + BELIEF_SHARE * n.sum()
     prior, start = np.full(6, 1 / 6), right.copy()
     for _ in range(ROUNDS):
         log = np.log(prior)[None, :] + np.zeros((len(patterns), 6))
+        log += np.where(against[:, None], np.log(speaks), np.log(1 - speaks))
         for j in range(len(LABELERS)):
             seen = votes[:, j] < ABSTAIN
-            log[seen] += np.log(right[j][:, votes[seen, j]].T)
+            if j != counter:
+                log[seen] += np.log(right[j][:, votes[seen, j]].T)
         log[~named] = -50
         post = np.exp(log - log.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         weight = post * n[:, None]
         prior = (weight.sum(axis=0) + 1) / (weight.sum() + 6)
         for j in range(len(LABELERS)):
-            if LABELERS[j] == "counter":
-                continue
-            table = start[j] * (20 + 0.2 * n.sum())
+            table = start[j] * belief
             for v in range(6):
                 table[:, v] += weight[votes[:, j] == v].sum(axis=0)
             right[j] = table / table.sum(axis=1, keepdims=True)
+        speaks[NONE] = (weight[against, NONE].sum() + first[NONE] * belief) / (weight[:, NONE].sum() + belief)
+    post[np.ix_(open_, [PHONE, ID])] = 0.5
     return dict(zip(patterns, post))
 
 
 def candidates(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """texts (tbl, row_id, text) -> candidate spans (tbl, row_id, found_text, pattern, features), each once per row."""
-    rows = lexicon.where("word is not null").select("word", "kind").distinct().limit(LEXICON_ROWS + 1).collect()
-    if len(rows) > LEXICON_ROWS:
-        raise ValueError(f"a lexicon of more than {LEXICON_ROWS} words isn't sent to the workers")
+    """texts (tbl, row_id, text) -> candidate spans (tbl, row_id, start, stop, found_text, pattern, features); start and stop in code points.
+
+    The lexicon, a list of names, goes whole to the workers.
+    """
+    words = sorted((r.word, r.kind) for r in lexicon.where("word is not null").select("word", "kind").distinct().collect())
     told = texts.where("row_id is not null and text is not null and text <> ''").select("tbl", F.col("row_id").cast("long"), "text")
-    return spread(told).mapInArrow(partial(_emit, lexicon_rows=sorted((r.word, r.kind) for r in rows)), "tbl string, row_id long, found_text string, pattern int, features array<int>")
+    return spread(told).mapInArrow(partial(_emit, lexicon_rows=words), _SPANS)
 
 
 def fit(found: DataFrame) -> SpanModel:
@@ -374,30 +392,38 @@ def fit(found: DataFrame) -> SpanModel:
 
 
 def classify(found: DataFrame, model: SpanModel) -> DataFrame:
-    """Candidates -> (tbl, row_id, kind, found_text), once per row and distinct text."""
+    """Candidates -> (tbl, row_id, start, stop, kind, found_text) of what is personal data."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds = [KINDS[model.decide(p, f)] for p, f in zip(b.column("pattern").to_pylist(), b.column("features").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("row_id"), pa.array(kinds, pa.string()), b.column("found_text")], ["tbl", "row_id", "kind", "found_text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tbl", "row_id", "start", "stop")), pa.array(kinds, pa.string()), b.column("found_text")], ["tbl", "row_id", "start", "stop", "kind", "found_text"])
 
-    told = found.mapInArrow(decide, "tbl string, row_id long, kind string, found_text string").where("kind <> 'none'").distinct()
+    told = found.mapInArrow(decide, "tbl string, row_id long, start int, stop int, kind string, found_text string").where("kind <> 'none'")
     return _without_next_sentence(told)
 
 
 def _without_next_sentence(told: DataFrame) -> DataFrame:
     """Cut from an address the capital words of the next sentence: of its beginnings the street that most addresses name stays."""
+    told = materialise(told, "told")
     numbered = F.col("kind") == "street_address"
     open_ended = numbered & F.col("found_text").rlike(r"^[0-9].* [\p{Lu}][\p{L}'’-]*$")
     street = F.regexp_replace("found_text", r"^[0-9]+ ?(?:bis|ter|quater|[A-Za-z])?,? ", "")
     fixed = told.where(~open_ended)
     loose = told.where(open_ended).withColumn("street", street)
-    counts = loose.groupBy("street").agg(F.count(F.lit(1)).alias("n"))
+    # A row and a street count once, however often a row repeats it.
+    counts = loose.select("tbl", "row_id", "found_text", "street").distinct().groupBy("street").agg(F.count(F.lit(1)).alias("n"))
     words = F.split("street", " ")
     shorter = counts.select("street", "n", F.explode(F.transform(F.sequence(F.lit(2), F.size(words)), lambda i: F.array_join(F.slice(words, 1, i), " "))).alias("part"))
     best = shorter.join(counts.select(F.col("street").alias("part"), F.col("n").alias("support")), "part").groupBy("street").agg(F.max_by("part", F.struct("support", -F.length("part"))).alias("part"))
-    cut = loose.join(best, "street").select("tbl", "row_id", "kind", F.expr("substring(found_text, 1, length(found_text) - length(street) + length(part))").alias("found_text"))
-    return fixed.unionByName(cut).distinct()
+    cut = loose.join(best, "street").withColumn("less", F.length("street") - F.length("part"))
+    cut = cut.select("tbl", "row_id", "start", (F.col("stop") - F.col("less")).cast("int").alias("stop"), "kind", F.expr("substring(found_text, 1, length(found_text) - less)").alias("found_text"))
+    return fixed.unionByName(cut)
+
+
+def _pieces(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    found = materialise(candidates(texts, lexicon), "spans")
+    return classify(found, fit(found))
 
 
 def personal_data(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -406,29 +432,23 @@ def personal_data(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     Null and empty texts and null ids give no rows; whole-row copies and repeats within a row
     count once; an empty table or lexicon gives what the other labelers find.
     """
-    found = materialise(candidates(texts, lexicon), "spans")
-    return classify(found, fit(found))
+    return _pieces(texts, lexicon).select("tbl", "row_id", "kind", "found_text").distinct()
 
 
 def redacted(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """texts (tbl, row_id, text) -> the same rows with a typed placeholder in place of each piece."""
-    found = materialise(candidates(texts, lexicon), "spans")
-    model = fit(found)
-    rows = sorted((r.word, r.kind) for r in lexicon.where("word is not null").select("word", "kind").distinct().collect())
+    """texts (tbl, row_id, text) -> the same rows, once each, with a typed placeholder in place of each piece personal_data finds.
 
-    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Lexicon(rows)
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                for start, end, _, votes, features in sorted(spans(text, names), reverse=True) if text else ():
-                    kind = model.decide(_pattern(votes), features)
-                    if kind:
-                        text = text[:start] + PLACEHOLDER[kind] + text[end:]
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("row_id"), pa.array(out, pa.string())], ["tbl", "row_id", "text"])
-
-    return spread(texts.select("tbl", F.col("row_id").cast("long"), "text")).mapInArrow(replace, "tbl string, row_id long, text string").distinct()
+    Two rows of one id with different texts keep what was found in each of them.
+    """
+    rows = texts.select("tbl", F.col("row_id").cast("long").alias("row_id"), "text").distinct()
+    placeholder = F.create_map(*[F.lit(x) for k, v in PLACEHOLDER.items() for x in (KINDS[k], v)])
+    piece = F.struct(F.col("start"), F.col("stop"), placeholder[F.col("kind")].alias("by"), F.col("found_text"))
+    listed = _pieces(texts, lexicon).groupBy("tbl", "row_id").agg(F.reverse(F.array_sort(F.collect_set(piece))).alias("pieces"))
+    # From the last piece to the first, so that the places of the others hold.
+    fits = lambda x: F.substring("text", x["start"] + 1, x["stop"] - x["start"]) == x["found_text"]
+    own = F.filter("pieces", fits)
+    done = F.aggregate(own, F.col("text"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"]), x["by"], F.substring(t, x["stop"] + 1, F.length(t))))
+    return rows.join(listed, ["tbl", "row_id"], "left").select("tbl", "row_id", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(done).alias("text"))
 
 
 def table_texts(messages: DataFrame, grades: DataFrame, requests: DataFrame) -> DataFrame:
