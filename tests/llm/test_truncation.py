@@ -48,3 +48,20 @@ def test_join_and_worker_counts_agree(spark, monkeypatch):
     one = sorted(map(tuple, T.cut_values(values(spark, asked)).collect()))
     monkeypatch.setattr(T, "CONTEXTS", 0)
     assert sorted(map(tuple, T.cut_values(values(spark, asked)).collect())) == one
+
+
+def test_both_ways_agree_on_other_white_space_and_digits(spark, monkeypatch):
+    texts = ["we saw　the long road", "we saw　the lo", "on page ٤٢ of it.", "on page ٤", "we saw the lo", "b 12 cats ran off.\nb 7 cats ra"]
+    asked = [(i, "https://a.test/x", t, None, 1) for i, t in enumerate(texts)]
+    one = sorted(map(str, T.cut_values(values(spark, asked)).collect()))
+    monkeypatch.setattr(T, "CONTEXTS", 0)
+    assert sorted(map(str, T.cut_values(values(spark, asked)).collect())) == one
+
+
+def test_many_values_with_one_header(spark):
+    """A prefix that all share: cut values are found without comparing each with each."""
+    head = "menu home about contact login search topics archive imprint " * 3
+    whole = [(i, "https://a.test/x", head + f"story {i} tells of things that happened in town number {i} and nothing else of note at all.", None, 1) for i in range(300)]
+    cut = [(1000 + i, "https://a.test/x", whole[i][2][: 210 + i % 40], None, 1) for i in range(40)]
+    got = {r.row_id: r.evidence for r in T.cut_values(values(spark, whole + cut)).where("cut").collect()}
+    assert {1000 + i for i in range(40)} == set(got) and set(got.values()) == {"longer copy"}

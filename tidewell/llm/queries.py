@@ -13,7 +13,7 @@ from tidewell.llm.personal import personal_data, redacted, table_texts
 from tidewell.llm.sentences import sentence_places, sentences
 from tidewell.llm.spellings import same_spellings, spelling_entities
 from tidewell.llm.tokens import token_counts
-from tidewell.llm.truncation import cut_values, link_values, truncation_by_host
+from tidewell.llm.truncation import cut_values, evidence_counts, link_values, truncation_by_host
 from tidewell.session import materialise
 from tidewell.tables import table
 
@@ -34,6 +34,10 @@ def p2_host_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_host(_judged(spark, sf_dir))
 
 
+def p2_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence_counts(_judged(spark, sf_dir))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_texts(table(spark, sf_dir, "messages", "msg_id", "text"), table(spark, sf_dir, "grades", "grade_id", "original_text"), table(spark, sf_dir, "ingest_requests", "entry_id", "text"))
 
@@ -110,7 +114,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_places(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "end_pos")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_posteriors": p9_posteriors, "p10_found": p10_found, "p10_sentences": p10_sentences}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p2_evidence": p2_evidence, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_posteriors": p9_posteriors, "p10_found": p10_found, "p10_sentences": p10_sentences}
 
 _PAIRS = """with r as (
   select distinct 'grade_topics' as field, grade_id as key, topics as items from grades

@@ -2,7 +2,7 @@
 
 Three kinds of evidence, all joins by prefix over every value:
 1. a value is a strict prefix of a longer copy elsewhere and breaks off inside a word or sentence, or anywhere once it is too long to be a stock sentence;
-2. its last words, as a hashed window, run on in other texts and do not end there;
+2. its last words are a strict prefix of what follows the same words in other texts, run on there and do not end there;
 3. its length is one at which values of the field pile up, and it is unfinished, or one at which mostly unfinished values of its host pile up.
 Marks that a cut leaves behind (an ellipsis with "more", half an escape) settle a value alone.
 """
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
@@ -68,22 +69,14 @@ def _core(word):
     return F.regexp_replace(word, r"[.!?…]+[\"'”’»)\]]*$", "")
 
 
-def _windows(values: DataFrame) -> DataFrame:
-    """(a, b, next, kind, n): every three words of the texts; kind says whether the third ends a sentence or line, or runs on."""
-    flat = F.regexp_replace(F.regexp_replace(F.replace("text", F.when(F.col("host") == "", F.lit("\x00")).otherwise(F.col("host")), F.lit("HOST")), r"[0-9]+", "0"), r"\s*\n\s*", f" {LINE} {LINE} ")
-    words = F.split(F.concat(F.lit(f"{LINE} {LINE} "), F.trim(flat)), r"\s+")
-    grams = F.transform(F.sequence(F.lit(0), F.size("ws") - 4), lambda i: F.struct(F.get("ws", i).alias("a"), F.get("ws", i + 1).alias("b"), F.get("ws", i + 2).alias("next"), F.get("ws", i + 3).alias("after")))
-    rows = values.select(words.alias("ws")).where("size(ws) >= 4").select(F.inline(grams)).where(f"next <> '{LINE}'")
-    dots = F.col("next").rlike(r"(?:…|\.\.\.)[\"'”’»)\]]*$")
-    ends = (F.col("after") == LINE) | F.col("next").rlike(r"[.!?][\"'”’»)\]]*$")
-    return rows.select("a", "b", _core("next").alias("next"), F.when(dots, "dots").when(ends, "ends").otherwise("runs").alias("kind"))
-
-
 _TERMINAL = re.compile(r"[.!?…]+[\"'”’»)\]]*$")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], contexts: dict, pairs: bool) -> Iterator[pa.RecordBatch]:
-    """What follows the contexts in the texts of a partition, already added up: (a, b, next, kind, n); a is empty for contexts of one word."""
+def _counted(batches: Iterator[pa.RecordBatch], contexts: dict | None, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """What follows the contexts in the texts of a partition, already added up: (a, b, next, kind, n); a is empty for contexts of one word.
+
+    Without contexts every window of the texts is counted, by the same rules.
+    """
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("next", pa.string()), ("kind", pa.string()), ("n", pa.int64())])
     found: Counter = Counter()
 
@@ -105,14 +98,15 @@ def _counted(batches: Iterator[pa.RecordBatch], contexts: dict, pairs: bool) ->
             words = [LINE, LINE, *_DIGITS.sub("0", line if whole else line[0]).split()]
             if whole:
                 words.append(LINE)
-            for i, w in enumerate(map(contexts.get, words[1:-2])):
-                if w is None:
-                    continue
-                if pairs and (w := w.get(words[i])) is None:
-                    continue
+            for i, w in enumerate(map(contexts.get, words[1:-2]) if contexts is not None else repeat(None, max(0, len(words) - 3))):
                 c = words[i + 2]
-                if c[:2] not in w and c[:1] not in w:
-                    continue
+                if contexts is not None:
+                    if w is None:
+                        continue
+                    if pairs and (w := w.get(words[i])) is None:
+                        continue
+                    if c[:2] not in w and c[:1] not in w:
+                        continue
                 core = _TERMINAL.sub("", c) if c[-1] in ".!?…\"'”’»)]" else c
                 kind = "runs" if core == c and words[i + 3] != LINE else "dots" if "…" in c[len(core) :] or "..." in c[len(core) :] else "ends"
                 found[words[i] if pairs else "", words[i + 1], core, kind] += n
@@ -125,12 +119,14 @@ def _counted(batches: Iterator[pa.RecordBatch], contexts: dict, pairs: bool) ->
 def _grams(tails: DataFrame, prose: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, next, kind, n): how the contexts of the tails go on in all texts; keys are (a, b) or (b)."""
     contexts = tails.select(*keys, F.substring("w", 1, 2).alias("w")).distinct()
+    schema = "a string, b string, next string, kind string, n long"
     if contexts.limit(CONTEXTS + 1).count() <= CONTEXTS:
         after: dict = {}
         for r in contexts.collect():
             (after.setdefault(r.b, {}).setdefault(r.a, set()) if "a" in keys else after.setdefault(r.b, set())).add(r.w)
-        return prose.select("text", "host").mapInArrow(partial(_counted, contexts=after, pairs="a" in keys), "a string, b string, next string, kind string, n long").groupBy(*keys, "next", "kind").agg(F.sum("n").alias("n"))
-    return _windows(prose).join(tails.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "next", "kind").agg(F.count(F.lit(1)).alias("n"))
+        return prose.select("text", "host").mapInArrow(partial(_counted, contexts=after, pairs="a" in keys), schema).groupBy(*keys, "next", "kind").agg(F.sum("n").alias("n"))
+    every = prose.select("text", "host").mapInArrow(partial(_counted, contexts=None, pairs="a" in keys), schema)
+    return every.groupBy(*keys, "next", "kind").agg(F.sum("n").alias("n")).join(tails.select(*keys).distinct(), keys, "left_semi")
 
 
 def _tally(tails: DataFrame, grams: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -138,11 +134,14 @@ def _tally(tails: DataFrame, grams: DataFrame, keys: list[str], tag: str) -> Dat
     same, longer = F.col("next") == F.col("w"), F.col("next").startswith(F.col("w")) & (F.length("next") > F.length("w"))
     total = lambda when, name: F.sum(F.when(when, F.col("n")).otherwise(0)).alias(name + tag)
     own = [c for c in tails.columns if c not in (*keys, "w")]
-    return tails.join(grams, keys, "left").groupBy(*keys, "w", *own).agg(*(total(same & (F.col("kind") == k), name) for k, name in (("ends", "ended"), ("dots", "dots"), ("runs", "onward"))), total(longer, "grown"))
+    # The first letters belong to the key, so that a common context doesn't bring all its words together.
+    first = F.array_distinct(F.array(F.substring("next", 1, 1), F.substring("next", 1, 2)))
+    grown = tails.withColumn("_p", F.substring("w", 1, 2)).join(grams.withColumn("_p", F.explode(first)), [*keys, "_p"], "left")
+    return grown.groupBy(*keys, "w", *own).agg(*(total(same & (F.col("kind") == k), name) for k, name in (("ends", "ended"), ("dots", "dots"), ("runs", "onward"))), total(longer, "grown"))
 
 
 def cut_values(values: DataFrame) -> DataFrame:
-    """values (tbl, row_id, field, host, text, codes) -> the same rows without text, once each, with `cut`.
+    """values (tbl, row_id, field, host, text, codes) -> the same rows without text, once each, with `cut` and the first `evidence` of it.
 
     `codes` marks fields of short codes with an optional detail, which are told by their longer
     copies only. Null, empty and blank values are no cases and fall away. Whole-row copies count
@@ -171,18 +170,23 @@ def cut_values(values: DataFrame) -> DataFrame:
     tally = materialise(_tally(open_tails, _grams(open_tails, prose, ["a", "b"]), ["a", "b"], "3"), "tally")
     alone = tally.where("ended3 + dots3 + onward3 + grown3 = 0").select("b", "w").distinct()
     pairs = _tally(alone, _grams(alone, prose, ["b"]), ["b"], "2")
-    # 1: a longer copy that goes on where this value ends. A short value meets only texts that share more than half
-    # of it, each distinct continuation once; only values whose hashed prefix a longer text has are looked at.
+    # 1: a longer copy that goes on where this value ends. Both are hashed at the powers of two; where a longer text
+    # shares the last of these prefixes, it is hashed again at each length that the values with this prefix have, and
+    # the two hashes of the rest must agree. No value is compared with another one.
     steps = F.transform(F.sequence(F.lit(SHORTEST.bit_length() - 1), F.floor(F.log2(F.length("text"))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
     opened = prose.where(F.length("text") > SHORTEST).select("text", F.explode(steps).alias("k")).where("length(text) > k").select("text", "k", F.xxhash64(F.expr("substring(text, 1, k)")).alias("h"))
     longest = opened.groupBy("k", "h").agg(F.max(F.length("text")).alias("longest"))
     open_ends = tails.where(f"len >= {SHORTEST} and (state in (1, 2) or state = 0 and len >= {COPIED})")
     open_ends = materialise(open_ends.join(longest, ["k", "h"]).where("longest > len").select("tbl", "row_id", "field", "k", "h"), "open_ends")
     ends = prose.where(F.length("text") >= SHORTEST).join(broadcast_if_small(open_ends.select("tbl", "row_id", "field").distinct()), ["tbl", "row_id", "field"], "left_semi")
-    ends = ends.select("tbl", "row_id", "field", level(F.length("text")).alias("k"), F.col("text").alias("t")).select("tbl", "row_id", "field", "k", F.xxhash64(F.expr("substring(t, 1, k)")).alias("h"), F.expr("substring(t, k + 1)").alias("rest"))
+    ends = ends.select("tbl", "row_id", "field", F.col("text").alias("t"), level(F.length("text")).alias("k"), F.length("text").alias("at"))
+    hashes = lambda rest: (F.xxhash64(rest).alias("h1"), F.xxhash64(F.lit(1), rest).alias("h2"))
+    ends = ends.select("tbl", "row_id", "field", "k", "at", F.xxhash64(F.expr("substring(t, 1, k)")).alias("h"), *hashes(F.expr("substring(t, k + 1)")))
     ends = materialise(ends, "ends")
-    starts = opened.join(broadcast_if_small(open_ends.select("k", "h").distinct()), ["k", "h"], "left_semi").select("k", "h", F.expr("substring(text, k + 1, k)").alias("next")).distinct()
-    copied = ends.join(starts, ["k", "h"]).where(F.startswith(F.col("next"), F.col("rest")) & (F.length("next") > F.length("rest"))).select("tbl", "row_id", "field", F.lit(True).alias("copied")).distinct()
+    lengths = ends.groupBy("k", "h").agg(F.collect_set("at").alias("ats"))
+    starts = opened.join(broadcast_if_small(lengths), ["k", "h"]).select("k", "h", "ats", F.expr("substring(text, k + 1, k)").alias("next")).distinct()
+    starts = starts.select("k", "h", "next", F.explode("ats").alias("at")).where("length(next) > at - k").select("k", "h", "at", *hashes(F.expr("substring(next, 1, at - k)"))).distinct()
+    copied = ends.join(starts, ["k", "h", "at", "h1", "h2"], "left_semi").select("tbl", "row_id", "field", F.lit(True).alias("copied")).distinct()
     judged = tails.withColumn("w", _core("w"))
     for rows, keys in ((piled[0], ["tbl", "field", "len"]), (piled[1], ["tbl", "field", "bytes"]), (limits[0], ["tbl", "field", "host", "len"]), (limits[1], ["tbl", "field", "host", "bytes"]), (tally, ["a", "b", "w"]), (pairs, ["b", "w"]), (copied, ["tbl", "row_id", "field"])):
         judged = judged.join(rows, keys, "left")
@@ -199,7 +203,8 @@ def cut_values(values: DataFrame) -> DataFrame:
     pile = yes("piled_len") | yes("piled_bytes") | limit
     trails_off = (n("dotted") + n("dots3") >= 2) & (n("dotted") + n("dots3") > n("ended3") + rest3)
     cut = (F.col("state") == 3) | (F.col("state") == 4) & ~trails_off | (F.col("state") == 2) & (pile | runs_on | unknown) | (F.col("state") == 1) & pile | (F.col("state") == 0) & limit | F.col("state").isin(0, 1, 2) & yes("copied")
-    prose_out = judged.select("tbl", "row_id", "field", "host", cut.alias("cut"))
+    by = F.when(~cut, None).when(yes("copied"), "longer copy").when(F.col("state") == 3, "mark").when(F.col("state") == 4, "ellipsis").when((F.col("state") == 2) & runs_on, "longer phrase").when(pile & (F.col("state") > 0), "cut width").when(limit, "host limit").otherwise("unknown word")
+    prose_out = judged.select("tbl", "row_id", "field", "host", cut.alias("cut"), by.alias("evidence"))
     return prose_out.unionByName(_cut_codes(values.where("codes")))
 
 
@@ -213,7 +218,7 @@ def _cut_codes(values: DataFrame) -> DataFrame:
     grown = forms.where("length(form) > 1").join(prefixes, ["field", "form"]).groupBy("field", "form").agg(F.max(F.col("next").rlike(r"[\p{L}\p{N}_]")).alias("inside"))
     bare = F.col("form").rlike(r"^[a-z]+(?:_[a-z]+)*$")
     whole = F.col("inside").isNull() | bare & ~F.col("inside")
-    return rows.join(grown, ["field", "form"], "left").select("tbl", "row_id", "field", "host", (~whole | F.col("marked")).alias("cut"))
+    return rows.join(grown, ["field", "form"], "left").select("tbl", "row_id", "field", "host", (~whole | F.col("marked")).alias("cut"), F.when(~whole, "longer code").when(F.col("marked"), "mark").alias("evidence"))
 
 
 def link_values(scraped: DataFrame, asked: DataFrame) -> DataFrame:
@@ -223,6 +228,11 @@ def link_values(scraped: DataFrame, asked: DataFrame) -> DataFrame:
     return one(scraped, "scraped_links", "link_id", "raw_text", False).unionByName(one(asked, "ask_links", "ask_id", "partial_text", False)).unionByName(one(asked, "ask_links", "ask_id", "block_reason", True)).where("row_id is not null")
 
 
+def evidence_counts(judged: DataFrame) -> DataFrame:
+    """(field, evidence, n): by what the values told as cut were told."""
+    return judged.where("cut").groupBy("field", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 def truncation_by_host(judged: DataFrame) -> DataFrame:
     """(host, n_values, n_cut, cut_share): how often each source cuts its values."""
     return judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.col("cut").cast("long")).alias("n_cut")).withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_values"), 6))
