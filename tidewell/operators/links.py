@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +12,22 @@ from tidewell.session import broadcast_if_small
 ASK_REASONS = ["truncated", "paywall", "auth_required"]
 
 
-def outcome_class(status_code, title, text, final_url):
+#: Characters of a text in which a paywall is looked for, shortest text that is content, and size of a page that has a text but shows none.
+SEEN, SHORTEST, LARGE_PAGE = 6000, 50, 50_000
+
+
+def outcome_class(status_code, title, text, final_url, html_size=None):
     """Why a fetched page is no use, by the first rule that holds; null if it is."""
-    seen = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 6000))
+    title, text, html_size = F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")), F.lit(0) if html_size is None else F.coalesce(html_size, F.lit(0))
     return (
         F.when(status_code.isin(401, 403, 407), "auth_required")
         .when(status_code == 404, "not_found")
         .when(status_code >= 500, "failed")
-        .when(F.lower(seen).rlike(r"subscribe to (?:read|continue)|subscribers only|members[- ]only|become a member|paywall"), "paywall")
-        .when(F.lower(F.coalesce(final_url, F.lit(""))).rlike(r"(/login|/signin|/sign-in|/auth|/checkpoint|/captcha|/sessions)"), "auth_required")
-        .when(F.length(T.strip(F.coalesce(text, F.lit("")))) < 50, "empty_content")
+        .when(F.lower(F.concat_ws(" ", title, F.substring(text, 1, SEEN))).rlike(T.PAYWALL), "paywall")
+        .when(F.lower(F.coalesce(final_url, F.lit(""))).rlike(T.LOGIN_PATH), "auth_required")
+        .when(F.lower(title).rlike(T.CHALLENGE), "challenge_blocked")
+        .when((F.length(T.strip(text)) < SHORTEST) & (html_size > LARGE_PAGE), "auth_required")
+        .when(F.length(T.strip(text)) < SHORTEST, "empty_content")
     )
 
 
@@ -127,13 +131,6 @@ def suggest_topics(groups: DataFrame, asked: DataFrame, most: int = 5) -> DataFr
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("asked", "rank", "canonical", "n_items")
 
 
-def routed_command(text):
-    """What a bot message asks for: start, query, ingest, paste, skip or blocked; a link alone is to be ingested, any other text a query."""
-    t = F.lower(T.strip(F.coalesce(text, F.lit(""))))
-    rules = [(t.rlike(r"^/start\b"), "start"), (t.rlike(r"^/(?:query|ask|search)\b"), "query"), (t.rlike(r"^/ingest\b"), "ingest"), (t.rlike(r"^/paste\b"), "paste"), (t.rlike(r"^/skip\b"), "skip"), (t.rlike(r"^/blocked\b"), "blocked"), (t == "", "empty"), (t.rlike(r"https?://"), "ingest")]
-    return reduce(lambda acc, r: acc.when(*r), rules[1:], F.when(*rules[0])).otherwise("query")
-
-
 def renewal_due(expiration, now_ms, window_ms: int = 86_400_000):
     """Whether a watch channel must be renewed: no number, past, or ending within a day."""
     at = F.expr("try_cast(_exp as bigint)") if isinstance(expiration, str) else expiration

@@ -119,19 +119,23 @@ def store_fingerprint(spark, sf_dir):
     return d.groupBy("candidate_type").agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("checksum"))
 
 
+_PHONES = [(-1, "ring 01632 960 001 or (555) 555-0142 today"), (-2, "see https://a.test/status/1234567890123 and www.b.test/0123456789"), (-3, "+44-7700-900-123"), (-4, None)]
+
+
 def phone_gate(spark, sf_dir):
-    """Messages in which a phone number shows once links are taken out, masked but for the last two digits."""
-    bare = F.regexp_replace("text", r"https?://\S+", " ")
-    found = F.regexp_extract(bare, r"(\+[0-9][0-9 ()-]{7,}[0-9])", 1)
-    return table(spark, sf_dir, "messages", "msg_id", "text").select("msg_id", found.alias("f")).where("f <> ''").distinct().select("msg_id", T.masked_digits(F.col("f")).alias("masked"))
+    """What looks like a phone number in messages once links are taken out, masked but for the last two digits."""
+    edge = spark.createDataFrame(_PHONES, "msg_id long, text string")
+    rows = table(spark, sf_dir, "messages", "msg_id", "text").unionByName(edge).distinct()
+    return rows.select("msg_id", F.posexplode(T.phone_numbers(F.col("text"))).alias("k", "f")).select("msg_id", F.col("k").cast("long").alias("k"), T.masked_digits(F.col("f")).alias("masked"))
+
+
+_INTROS = [(-1, "Hi all, my name is Ada"), (-2, "Hello, the queue is full"), (-3, "let me introduce myself"), (-4, None), (-5, "Namaste! I'm new"), (-6, "hey, anyone here?"), (-7, "history: I am"), (-8, "Good evening, i am late")]
 
 
 def self_introduction(spark, sf_dir):
-    """Messages that open with a greeting and soon speak in the first person, or say they introduce someone."""
-    edge = spark.createDataFrame([(-1, "Hi all, my name is Ada"), (-2, "Hello, the queue is full"), (-3, "let me introduce myself"), (-4, None)], "msg_id long, text string")
-    t = F.lower(T.strip(F.coalesce("text", F.lit(""))))
-    intro = t.rlike(r"^(hi|hello|hey|greetings|good (morning|evening|afternoon))\b") & F.substring(t, 1, 200).rlike(r"\b(i am|i'm|my name is|i work)\b") | t.contains("introduce myself")
-    return table(spark, sf_dir, "messages", "msg_id", "text").unionByName(edge).distinct().select("msg_id", intro.alias("is_introduction"))
+    """Messages that open with a greeting and speak in the first person, or say they introduce themselves."""
+    edge = spark.createDataFrame(_INTROS, "msg_id long, text string")
+    return table(spark, sf_dir, "messages", "msg_id", "text").unionByName(edge).distinct().select("msg_id", T.introduces(F.col("text")).alias("is_introduction"))
 
 
 def enrichment_rollup(spark, sf_dir):
@@ -155,13 +159,12 @@ def latency_percentiles(spark, sf_dir):
 
 
 def model_replies(spark, sf_dir):
-    """Model answers as lists of grades: fences off, a single object or a list, anything else an empty list."""
-    fence = "```"
-    replies = [(1, f'{fence}json\n[{{"quality": 4, "category": "insight"}}, {{"quality": 9}}]\n{fence}'), (2, '{"quality": 2, "category": "noise"}'), (3, "no json at all"), (4, None), (5, "[]")]
-    df = spark.createDataFrame(replies, "reply_id long, reply string")
-    bare = F.trim(F.regexp_replace(F.coalesce("reply", F.lit("")), r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", ""))
-    listed = F.when(bare.startswith("{"), F.concat(F.lit("["), bare, F.lit("]"))).otherwise(bare)
-    grades = F.coalesce(F.from_json(listed, "array<struct<quality:int,category:string>>"), F.array().cast("array<struct<quality:int,category:string>>"))
+    """Model answers as lists of grades: those the grades of the table would come in (fenced, alone, in a list, in a list of lists), and replies that are none."""
+    g = _grades(spark, sf_dir).where("quality is not null and category is not null").select(F.col("grade_id").alias("reply_id"), F.concat(F.lit('{"quality": '), F.col("quality").cast("string"), F.lit(', "category": "'), "category", F.lit('"}')).alias("o"))
+    kind = F.pmod("reply_id", F.lit(4))
+    written = g.select("reply_id", F.when(kind == 0, F.concat(F.lit("```json\n["), "o", F.lit(", "), "o", F.lit("]\n```"))).when(kind == 1, F.col("o")).when(kind == 2, F.concat(F.lit("["), "o", F.lit("]"))).otherwise(F.concat(F.lit("[["), "o", F.lit("], ["), "o", F.lit("]]"))).alias("reply"))
+    df = written.unionByName(spark.createDataFrame([(-1, "no json at all"), (-2, None), (-3, "[]"), (-4, '[{"quality": 9}]')], "reply_id long, reply string"))
+    grades = T.json_objects(F.col("reply"), "struct<quality:int,category:string>")
     return df.select("reply_id", F.size(grades).cast("long").alias("n"), F.array_join(F.transform(grades, lambda g: F.greatest(F.lit(1), F.least(F.lit(5), g["quality"])).cast("string")), ",").alias("qualities"))
 
 
@@ -175,6 +178,13 @@ def _strip(x: str) -> str:
 
 
 _ACKS = ", ".join(f"'{a}'" for a in T.SHORT_ACKS)
+
+
+def _row(x: tuple) -> str:
+    """A row of literals in SQL."""
+    return "(" + ", ".join("null" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'" for v in x) + ")"
+
+
 _REASON = f"""case when t = '' then 'empty'
   when coalesce(is_media, false) and {_strip("replace(t, '<Media omitted>', '')")} = '' then 'media_only_no_caption'
   when not regexp_matches(t, '[\\p{{L}}\\p{{N}}]') then 'no_alphanumeric'
@@ -223,11 +233,13 @@ select msg_id, (arg_max(grade_id, (quality, -grade_id))) as best_grade_id, max(q
     "category_stats": f"with {_G} select category, count(*) as n, round(avg(confidence), 6) as mean_confidence, min(confidence) as min_confidence, max(confidence) as max_confidence, round(avg(len(coalesce(topics, []))), 6) as mean_topics from g group by 1",
     "duplicates_reposts": "select sha256(text) as content_hash, count(*) as copies, count(distinct sent_at) as stamps, min(doc_id) as first_doc from documents group by 1 having count(*) > 1",
     "store_fingerprint": "select candidate_type, count(*) as n, sum(('0x' || sha256(doc_id::varchar)[1:12])::hugeint)::varchar as checksum from documents group by 1",
-    "self_introduction": rf"""select distinct msg_id, coalesce(regexp_matches(t, '^(hi|hello|hey|greetings|good (morning|evening|afternoon))\b') and regexp_matches(t[1:200], '\b(i am|i''m|my name is|i work)\b') or contains(t, 'introduce myself'), false) as is_introduction
-from (select msg_id, lower({_strip("coalesce(text, '')")}) as t from (select msg_id, text from messages union all select * from (values (-1, 'Hi all, my name is Ada'), (-2, 'Hello, the queue is full'), (-3, 'let me introduce myself'), (-4, null)) v(msg_id, text)))""",
+    "self_introduction": f"""select distinct msg_id, regexp_matches(t, '{T.GREETING.replace("'", "''")}') and regexp_matches(t, '{T.FIRST_PERSON.replace("'", "''")}') or contains(t, 'introduce myself') as is_introduction
+from (select msg_id, lower({_strip("coalesce(text, '')")})[1:200] as t from (select msg_id, text from messages union all select * from (values {", ".join(_row(x) for x in _INTROS)}) v(msg_id, text)))""",
     "enrichment_rollup": "select coalesce(link_intent, 'none') as link_intent, count(*) as n, sum(len(coalesce(topics, [])))::bigint as topics, sum(len(coalesce(entities, [])))::bigint as entities, round(avg(len(coalesce(topics, []))), 6) as mean_topics from (select distinct link_id, link_intent, topics, entities from scraped_links) group by 1",
     "revision_skip": "select distinct n.source_id, n.source_type, coalesce(n.revision is not null and n.imported_at < '2026-09-15', false) as skipped from ingestion_sources n",
     "latency_percentiles": "select event_type, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, round(median(value), 6) as median from events where value is not null group by 1",
-    "model_replies": "select * from (values (1::bigint, 2::bigint, '4,5'), (2, 1, '2'), (3, 0, ''), (4, 0, ''), (5, 0, '')) t(reply_id, n, qualities)",
-    "phone_gate": r"select distinct msg_id, masked from (select msg_id, nullif(regexp_extract(regexp_replace(text, 'https?://\S+', ' ', 'g'), '(\+[0-9][0-9 ()-]{7,}[0-9])', 1), '') as f from messages) , lateral (select regexp_replace(f[1:greatest(0, length(f) - length(regexp_extract(f, '(\d\D*\d\D*)$', 1)))], '\d', '#', 'g') || regexp_extract(f, '(\d\D*\d\D*)$', 1) as masked) where f is not null",
+    "model_replies": f"with {_G}, r as (select grade_id as reply_id, case when grade_id % 4 in (1, 2) then 1::bigint else 2::bigint end as n, greatest(1, least(5, quality))::varchar as q from g where quality is not null and category is not null) select reply_id, n, case when n = 1 then q else q || ',' || q end as qualities from r union all select * from (values (-1, 0, ''), (-2, 0, ''), (-3, 0, ''), (-4, 1, '5')) t(reply_id, n, qualities)",
+    "phone_gate": f"""with t as (select distinct msg_id, list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '{T.LINK_LIKE}', ' ', 'g'), '{T.PHONE_LIKE}'), lambda f: {_strip("f")}) as fs from (select msg_id, text from messages union all select * from (values {", ".join(_row(x) for x in _PHONES)}) v(msg_id, text))),
+u as (select msg_id, unnest(fs) as f, generate_subscripts(fs, 1) - 1 as k from t)
+select msg_id, k, regexp_replace(f[1:length(f) - length(e)], '\\d', '#', 'g') || e as masked from (select *, regexp_extract(f, '(\\d\\D*\\d\\D*)$', 1) as e from u)""",
 }

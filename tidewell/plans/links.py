@@ -35,9 +35,14 @@ def url_classify(spark, sf_dir):
     return _scraped(spark, sf_dir).select("link_id", T.url_host(u).alias("host"), T.url_title(u).alias("url_title"), T.paste_id(u).alias("paste_id"), kind.alias("kind"), T.link_point_id(u).alias("point_id"))
 
 
+_FETCHED = [(-1, 401, "t", "x", "", 0), (-2, 404, "t", "x", "", 0), (-3, 503, "t", "x", "", 0), (-4, 200, "Just a moment...", "y" * 80, "https://a.test/", 0), (-5, 200, "t", "short", "https://a.test/", 60_000), (-6, 200, "t", "short", "https://a.test/", 100), (-7, 200, "t", "y" * 80, "https://a.test/signin?x", 0), (-8, 200, "Unlock the rest", "y" * 80, "https://a.test/", 0), (-9, 200, "t", "y" * 80, "https://a.test/", 0)]
+
+
 def web_outcome(spark, sf_dir):
-    rows = _scraped(spark, sf_dir)
-    return rows.select("link_id", L.outcome_class(F.lit(200), F.col("title"), F.col("raw_text"), F.col("final_url")).alias("outcome"))
+    """Pages of the table as fetched without an error, and one page for each rule."""
+    rows = _scraped(spark, sf_dir).select("link_id", F.lit(200).alias("code"), "title", "raw_text", "final_url", F.lit(0).alias("html"))
+    edge = spark.createDataFrame(_FETCHED, "link_id long, code int, title string, raw_text string, final_url string, html int")
+    return rows.unionByName(edge).select("link_id", L.outcome_class(F.col("code"), F.col("title"), F.col("raw_text"), F.col("final_url"), F.col("html")).alias("outcome"))
 
 
 def outcome_routing(spark, sf_dir):
@@ -153,10 +158,20 @@ def category_backfill(spark, sf_dir):
     return left.join(right, ["h", "rn"]).select("msg_id", "grade_id", "category")
 
 
+_COMMANDS = [(-1, "/start"), (-2, "/paste LNK-1 : body: more"), (-3, "/skip  LNK-2 "), (-4, "/blocked"), (-5, "see https://example.test/a"), (-6, "  "), (-7, "/ingest --trusted text"), (-8, "/via Ada: a note"), (-9, "/via Ada a note"), (-10, "/via note"), (-11, "/ask what now?"), (-12, "/ingest plain"), (-13, "/paste only"), (-14, "--trusted http://a.test"), (-15, "/Start")]
+
+
+def _commands(spark, sf_dir):
+    edge = spark.createDataFrame(_COMMANDS, "entry_id long, text string")
+    return table(spark, sf_dir, "query_jobs", "entry_id", "text").unionByName(edge)
+
+
 def command_routing(spark, sf_dir):
-    edge = spark.createDataFrame([(-1, "/start"), (-2, "/paste LNK-1 : body"), (-3, "/skip LNK-2"), (-4, "/blocked"), (-5, "see https://example.test/a"), (-6, "  "), (-7, "/ingest --trusted text")], "entry_id long, text string")
-    rows = table(spark, sf_dir, "query_jobs", "entry_id", "text").unionByName(edge)
-    return rows.select("entry_id", L.routed_command(F.col("text")).alias("command"))
+    return _commands(spark, sf_dir).select("entry_id", T.command(F.col("text")).alias("command"))
+
+
+def command_parts(spark, sf_dir):
+    return _commands(spark, sf_dir).select("entry_id", T.command_parts(F.col("text")).alias("p")).select("entry_id", "p.*")
 
 
 def watch_renewal(spark, sf_dir):
@@ -165,7 +180,7 @@ def watch_renewal(spark, sf_dir):
     return rows.where("status = 'active'").select("channel_id", "installation_id", L.renewal_due(at, F.lit(NOW)).alias("due"), F.date_format(F.timestamp_millis(at), "yyyy-MM-dd HH:mm 'UTC'").alias("expires"))
 
 
-QUERIES = {f.__name__: f for f in (extract_links, url_classify, web_outcome, outcome_routing, pending_links, link_previews, seen_url_first, replace_current, link_merge, skip_transition, link_coverage, link_attribution, restore_candidates, restore_all, topic_groups, topic_neighbours, topic_browse, topic_suggest, messages_filtered, item_lookup, category_backfill, command_routing, watch_renewal)}
+QUERIES = {f.__name__: f for f in (extract_links, url_classify, web_outcome, outcome_routing, pending_links, link_previews, seen_url_first, replace_current, link_merge, skip_transition, link_coverage, link_attribution, restore_candidates, restore_all, topic_groups, topic_neighbours, topic_browse, topic_suggest, messages_filtered, item_lookup, category_backfill, command_routing, command_parts, watch_renewal)}
 
 _S = "s as (select distinct link_id, url, status, final_url, title, source, raw_text, summary, what_it_is, problem_solved, how_useful, scraped_at, sent_at, message_context.msg_id as msg_id from scraped_links)"
 _A = "a as (select distinct ask_id, url, status, block_reason, created_at, resolved, sent_at, message_context.msg_id as msg_id from ask_links)"
@@ -183,13 +198,19 @@ _ROUTE = f"case when {_CODE} in ('truncated', 'paywall', 'auth_required') then '
 _BEST = "b as (select msg_id, max(quality) as quality from (select distinct grade_id, msg_id, quality from grades) group by 1)"
 _ASKSQL = ", ".join(f"('{x}')" for x in _ASKED)
 
+_TRIM = r"regexp_replace({}, '^[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+|[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+$', '', 'g')"
+_CMD = f"""q as (select entry_id, text from query_jobs union all select * from (values {", ".join(repr(x) for x in _COMMANDS)}) t(entry_id, text)), r as (select entry_id, {_TRIM.format("coalesce(text, '')")} as t from q),
+c as (select *, case when starts_with(t, '/start') then 'start' when starts_with(t, '/ask') then 'query' when starts_with(t, '/ingest') or starts_with(t, '/via') then 'ingest' when starts_with(t, '/paste') then 'paste' when starts_with(t, '/skip') then 'skip' when starts_with(t, '/blocked') then 'blocked' when contains(t, 'http://') or contains(t, 'https://') then 'ingest' else 'query' end as command from r)"""
+
 ORACLE_SQL = {
     "extract_links": f"with {_LINKS} select msg_id, link_no, url from l",
     "url_classify": f"""with {_S}, h as (select *, {_HOST.format(u='url')} as host, sha1(unhex('{T.URL_NAMESPACE}') || encode('link-' || url)) as h from s)
 select link_id, host, {_UT.format(u='url')} as url_title, 'LNK-' || upper(sha1(url)[1:6]) as paste_id, case when regexp_matches(host, '(^|\\.)(youtube\\.com|youtu\\.be)$') then 'youtube' when regexp_matches(host, '(^|\\.)github\\.com$') then 'github' when regexp_matches(host, '(^|\\.)(x|twitter)\\.com$') then 'x' else 'web' end as kind,
 concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], printf('%02x', (('0x' || h[17:18])::int & 63) | 128) || h[19:20], h[21:32]) as point_id from h""",
-    "web_outcome": f"""with {_S} select link_id, case when regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(raw_text, '')[1:6000]), 'subscribe to (?:read|continue)|subscribers only|members[- ]only|become a member|paywall') then 'paywall'
-when regexp_matches(lower(coalesce(final_url, '')), '(/login|/signin|/sign-in|/auth|/checkpoint|/captcha|/sessions)') then 'auth_required' when length(regexp_replace(coalesce(raw_text, ''), '^\\s+|\\s+$', '', 'g')) < 50 then 'empty_content' end as outcome from s""",
+    "web_outcome": f"""with {_S}, p as (select link_id, 200 as code, title, raw_text, final_url, 0 as html from s union all select * from (values {", ".join(repr(x) for x in _FETCHED)}) t(link_id, code, title, raw_text, final_url, html))
+select link_id, case when code in (401, 403, 407) then 'auth_required' when code = 404 then 'not_found' when code >= 500 then 'failed'
+when regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(raw_text, '')[1:6000]), '{T.PAYWALL}') then 'paywall' when regexp_matches(lower(coalesce(final_url, '')), '{T.LOGIN_PATH}') then 'auth_required'
+when regexp_matches(lower(coalesce(title, '')), '{T.CHALLENGE}') then 'challenge_blocked' when length({_TRIM.format("coalesce(raw_text, '')")}) < 50 and html > 50000 then 'auth_required' when length({_TRIM.format("coalesce(raw_text, '')")}) < 50 then 'empty_content' end as outcome from p""",
     "outcome_routing": f"with {_A} select coalesce({_CODE}, 'unknown') as code, {_ROUTE} as route, count(*) as n, count(*) filter (resolved) as resolved from a group by 1, 2",
     "pending_links": f"with {_A} select distinct ask_id, url, 'LNK-' || upper(sha1(url)[1:6]) as paste_id, sent_at from a where not resolved and url is not null",
     "link_previews": f"""with {_LINKS}, {_S}, {_A}, p as (select url, arg_max(st, rank) as st from (select url, 3 as rank, 'scraped' as st from s union all select url, case when {_ROUTE} = 'blocked' then 2 else 1 end, {_ROUTE} from a) where url is not null group by 1)
@@ -214,8 +235,12 @@ select m.msg_id, coalesce(quality, 0) as quality, coalesce(t.n, 0) as n_topics,
     "category_backfill": """with m as (select distinct msg_id, datetime_iso, text from messages where text is not null), g as (select distinct grade_id, category, original_text as text from grades where original_text is not null),
 c as (select text from (select text, count(*) as n from m group by 1) join (select text, count(*) as n2 from g group by 1) using (text) where n = n2)
 select msg_id, grade_id, category from (select *, row_number() over (partition by text order by msg_id) as rn from m where text in (select text from c)) join (select *, row_number() over (partition by text order by grade_id) as rn from g where text in (select text from c)) using (text, rn)""",
-    "command_routing": """with q as (select entry_id, text from query_jobs union all select * from (values (-1, '/start'), (-2, '/paste LNK-1 : body'), (-3, '/skip LNK-2'), (-4, '/blocked'), (-5, 'see https://example.test/a'), (-6, '  '), (-7, '/ingest --trusted text')) t(entry_id, text)), r as (select entry_id, lower(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as t from q)
-select entry_id, case when regexp_matches(t, '^/start\\b') then 'start' when regexp_matches(t, '^/(?:query|ask|search)\\b') then 'query' when regexp_matches(t, '^/ingest\\b') then 'ingest' when regexp_matches(t, '^/paste\\b') then 'paste' when regexp_matches(t, '^/skip\\b') then 'skip' when regexp_matches(t, '^/blocked\\b') then 'blocked' when t = '' then 'empty' when regexp_matches(t, 'https?://') then 'ingest' else 'query' end as command from r""",
+    "command_routing": f"with {_CMD} select entry_id, command from c",
+    "command_parts": f"""with {_CMD}, d as (select *, case when starts_with(t, '/ingest') then {_TRIM.format("t[8:]")} else t end as i, {_TRIM.format("t[5:]")} as v, {_TRIM.format("t[7:]")} as p from c)
+select entry_id, case when starts_with(t, '/ask') then {_TRIM.format("t[5:]")} when starts_with(t, '/via') then case when contains(v, ':') then {_TRIM.format("v[instr(v, ':') + 1:]")} when regexp_matches(v, '[ \t]') then {_TRIM.format("regexp_replace(v, '^[^ \t]*[ \t]', '')")} else v end
+when command = 'ingest' then case when starts_with(i, '--trusted') then {_TRIM.format("i[10:]")} else i end when command = 'paste' then case when contains(p, ':') then {_TRIM.format("p[instr(p, ':') + 1:]")} else p end when command = 'skip' then '' else t end as content,
+case when command = 'paste' then case when contains(p, ':') then {_TRIM.format("p[1:instr(p, ':') - 1]")} else '' end when command = 'skip' then {_TRIM.format("t[6:]")} else '' end as link_id,
+command = 'ingest' and starts_with(i, '--trusted') and not starts_with(t, '/via') as trusted from d""",
     "watch_renewal": f"""with w as (select distinct channel_id, installation_id, status, case when regexp_full_match(trim(expiration), '[0-9]{{13}}') then trim(expiration)::bigint end as at_ms from drive_watch_state)
 select channel_id, installation_id, at_ms is null or at_ms <= {NOW} + 86400000 as due, strftime(make_timestamp(at_ms * 1000), '%Y-%m-%d %H:%M UTC') as expires from w where status = 'active'""",
 }
