@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import broadcast_if_small
+
 K, DEPTH, RELEVANT, THRESHOLD, BAND = 5, 30, 2, 0.25, 0.01
 THRESHOLDS = [round(0.20 + 0.05 * i, 2) for i in range(9)]
 RESAMPLES, SEED = 10_000, 42
@@ -45,11 +47,15 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = K) -> DataFrame:
 def roc_auc(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Pooled area under the ROC curve from average ranks, ties half; null if one class is empty.
 
-    Scores are counted first, so the ordered pass goes over distinct scores, in rounded steps.
+    Scores are counted first; the ordered pass goes over distinct scores within thousandths, and over the thousandths.
     """
     by = judged(run, qrels).groupBy("score").agg(F.count_if(F.col("grade") >= RELEVANT).alias("pos"), F.count_if(F.col("grade") < RELEVANT).alias("neg"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    told = by.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    # Running totals of ever coarser steps: those within a bucket, and those of the buckets below.
+    step = F.floor(F.col("score") * F.lit(1000)).alias("bucket")
+    within = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy(step).agg(F.sum("neg").alias("all"))
+    lower = sums.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    told = by.withColumn("bucket", step).withColumn("own", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(broadcast_if_small(lower.select("bucket", "before")), "bucket").withColumn("under", F.col("own") + F.col("before"))
     return told.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("u")).select(F.col("p").alias("positives"), F.col("n").alias("negatives"), F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))), 6).alias("auc"))
 
 
@@ -63,11 +69,13 @@ def threshold_sweep(run: DataFrame, qrels: DataFrame, k: int = K) -> DataFrame:
     return per.groupBy("threshold").agg(F.sum("n").alias("returned"), F.sum("h").alias("hits"), F.sum("s").alias("successes")).join(F.broadcast(relevant), F.lit(True)).select("threshold", "returned", F.round(F.col("hits") / F.col("returned"), 6).alias("precision"), F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"), "successes")
 
 
-def failure_classes(run: DataFrame, qrels: DataFrame, k: int = K, depth: int = DEPTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Per query: no answer, success, missed by the threshold, cosine miss beyond the depth, or a miss of the ranking."""
+def failure_classes(run: DataFrame, qrels: DataFrame, truncated: DataFrame | None = None, k: int = K, depth: int = DEPTH, threshold: float = THRESHOLD) -> DataFrame:
+    """Per query, by the first that holds: no answer in the corpus, success, missed by the threshold, a relevant document that was cut (truncated: doc_id), a cosine miss beyond the depth, a miss of the ranking."""
     hit = F.col("grade") >= RELEVANT
-    per = judged(run, qrels).groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), F.max(F.when(hit & (F.col("rank") <= k), F.col("score"))).alias("best"))
-    return per.select("query_id", F.when(F.col("first").isNull(), "no_corpus_answer").when(F.col("best") >= threshold, "success").when(F.col("best").isNotNull(), "threshold_miss").when(F.col("first") > depth, "cosine_retrieval_miss").otherwise("ranking_miss").alias("failure_class"))
+    rows = judged(run, qrels)
+    rows = rows.withColumn("_cut", F.lit(False)) if truncated is None else rows.join(truncated.select("doc_id", F.lit(True).alias("_cut")).distinct(), "doc_id", "left")
+    per = rows.groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), F.max(F.when(hit & (F.col("rank") <= k), F.col("score"))).alias("best"), F.max(hit & F.coalesce("_cut", F.lit(False))).alias("cut"))
+    return per.select("query_id", F.when(F.col("first").isNull(), "no_corpus_answer").when(F.col("best") >= threshold, "success").when(F.col("best").isNotNull(), "threshold_miss").when(F.col("cut"), "long_document_miss").when(F.col("first") > depth, "cosine_retrieval_miss").otherwise("ranking_miss").alias("failure_class"))
 
 
 def win_tie_loss(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as T
 from tidewell.operators import evaluation as V
 from tidewell.operators import retrieval as R
 from tidewell.plans.retrieval import BOTH, FUSED, _both, _docs
@@ -63,7 +64,8 @@ def threshold_sweep(spark, sf_dir):
 
 def failure_class(spark, sf_dir):
     dense, _, _, qrels = _all(spark, sf_dir)
-    return V.failure_classes(dense, qrels)
+    cut = _docs(spark, sf_dir).where(T.estimated_tokens(F.col("text")) > 256)
+    return V.failure_classes(dense, qrels, cut)
 
 
 def win_tie_loss(spark, sf_dir):
@@ -113,7 +115,7 @@ ORACLE_SQL = {
     "metrics_summary": f"with {_MD}, {_metrics('lex', 'ml')}, {_metrics('fused', 'mf')} " + " union all ".join(f"select '{s}' as system, {_MEANS} from {m}" for s, m in (("cosine", "md"), ("bm25", "ml"), ("fused", "mf"))),
     "roc_auc": f"with {_MD}, b as (select score, count(*) filter (grade >= 2) as pos, count(*) filter (grade < 2) as neg from md_j group by 1), u as (select *, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as under from b) select sum(pos)::bigint as positives, sum(neg)::bigint as negatives, round(sum(pos * (under + neg / 2)) / (sum(pos) * sum(neg)), 6) as auc from u",
     "threshold_sweep": f"with {_MD}, t as (select unnest([{', '.join(map(str, V.THRESHOLDS))}])::double as threshold), s as (select threshold, query_id, grade, row_number() over (partition by threshold, query_id order by rank) as r from md_j, t where score >= threshold), p as (select threshold, query_id, count(*) as n, count(*) filter (grade >= 2) as h, max(case when grade >= 2 and r <= 5 then 1 else 0 end) as s from s group by all) select threshold, sum(n)::bigint as returned, round(sum(h) / sum(n), 6) as precision, round(sum(h) / (select count(*) filter (relevance >= 2) from qrels), 6) as recall, sum(s)::bigint as successes from p group by 1",
-    "failure_class": f"with {_MD}, p as (select query_id, min(case when grade >= 2 then rank end) as f, max(case when grade >= 2 and rank <= 5 then score end) as b from md_j group by 1) select query_id, case when f is null then 'no_corpus_answer' when b >= 0.25 then 'success' when b is not null then 'threshold_miss' when f > 30 then 'cosine_retrieval_miss' else 'ranking_miss' end as failure_class from p",
+    "failure_class": f"with {_MD}, p as (select query_id, min(case when grade >= 2 then rank end) as f, max(case when grade >= 2 and rank <= 5 then score end) as b, bool_or(grade >= 2 and greatest(1, (length(coalesce(text, '')) + 3) // 4) > 256) as c from md_j join documents using (doc_id) group by 1) select query_id, case when f is null then 'no_corpus_answer' when b >= 0.25 then 'success' when b is not null then 'threshold_miss' when c then 'long_document_miss' when f > 30 then 'cosine_retrieval_miss' else 'ranking_miss' end as failure_class from p",
     "win_tie_loss": f"with {_MD}, {_metrics('fused', 'mf')}, d as (select round(coalesce(mf.ndcg, 0) - coalesce(md.ndcg, 0), 6) as d from md join mf using (query_id)) select count(*) filter (d > 0.01) as wins, count(*) filter (abs(d) <= 0.01) as ties, count(*) filter (d < -0.01) as losses, round(avg(d), 6) as mean_delta from d",
     "unjudged_at_k": f"with {_MF} select query_id, count(*) filter (not is_judged) as unjudged, round(count(*) filter (is_judged) / 5, 6) as judged_at_k from mf_j where rank <= 5 group by 1",
     "headroom": f"with {_REL} select count(*) as relevant, count(*) filter (coalesce(rank, 11) > 10) as beyond from qrels left join dense using (query_id, doc_id) where relevance >= 2",
