@@ -59,6 +59,31 @@ def test_upserting_a_batch_twice_changes_nothing(spark):
     assert len(s.runs) == 1
 
 
+def test_a_batch_upserted_after_compaction_and_a_store_opened_again(spark, tmp_path):
+    rows = lambda *entries: identified(spark.createDataFrame([(e, j, u, "x") for e, j, u in entries], SCHEMA), "t")
+    path = str(tmp_path / "store")
+    s = DeliveryStore(spark, path, 4)
+    b0, b1 = rows((1, "7", 3), (2, "7", 3), (4, "9", None)), rows((3, "8", None), (5, "7", 3))
+    s.upsert(b0, "b0")
+    s.upsert(b1, "b1")
+    want = sorted(map(tuple, s.compact().collect()))
+    assert [(r[1], r[4], r[5], r[6]) for r in want] == [("7/3", 1, 5, 2), ("8/", 3, 3, 1), ("9/", 4, 4, 1)]
+    again = DeliveryStore(spark, path)
+    assert again.buckets == 4 and sorted(map(tuple, again.read().collect())) == want
+    again.upsert(b0, "b0")
+    assert sorted(map(tuple, again.read().collect())) == want and sorted(map(tuple, again.compact().collect())) == want
+    again.upsert(rows((6, "10", None)), "b2")
+    assert DeliveryStore(spark, path).read().count() == 4
+
+
+def test_merging_runs_shuffles_nothing(spark):
+    s = DeliveryStore(spark, buckets=4)
+    for i in range(3):
+        s.upsert(identified(spark.createDataFrame([(k, str(k % 50 + 1), k, "x") for k in range(i * 40, i * 40 + 90)], SCHEMA), "t"), f"b{i}")
+    assert "Exchange" not in s._merge(*[s._run(r) for r in s.runs[:2]])._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ident, r.first_entry) for r in s.compact().collect()) == sorted((f"{k % 50 + 1}/{k or ''}", k) for k in range(170))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 500), (7, 7), (None, 3), (900, 300)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -77,3 +77,13 @@ def test_empty_tables(spark):
     w = spark.createDataFrame([], "channel_id string, expiration string")
     s = spark.createDataFrame([], "source_id string, tz_name string")
     assert normalise_instants(stamps(m, r, w, s), InstantDictionary(spark)).count() == 0
+
+
+def test_counts_follow_every_extension(spark, tmp_path):
+    d = InstantDictionary(spark, str(tmp_path / "counts"))
+    pairs = lambda *raws: spark.createDataFrame([(r, "UTC") for r in raws], "raw string, zone string")
+    d.extend(pairs("2023-05-01T10:20:30", "x"), "day1")
+    d.extend(pairs(*["2023-05-01T10:20:30"] * 4, "2023-05-02T00:00:00"), "day2")
+    d.extend(pairs(*["2023-05-01T10:20:30"] * 4, "2023-05-02T00:00:00"), "day2")
+    told = {r.raw: (r.n, r.utc_us is not None) for r in InstantDictionary(spark, d.path).read().collect()}
+    assert told == {"2023-05-01T10:20:30": (5, True), "x": (1, False), "2023-05-02T00:00:00": (1, True)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidewell.functions.instants import read_instant
-from tidewell.session import broadcast_if_small, hot_salt, replicate_hot, scratch_path
+from tidewell.session import broadcast_if_small, hot_salt, materialise, replicate_hot, scratch_path
 
 #: A pair is hot when more rows than this carry it and more than one in HOT_SHARE of all rows: fewer than HOT_SHARE pairs can be.
 HOT_ROWS, HOT_SHARE = 5_000, 500
@@ -24,47 +24,65 @@ def _read(raw: pd.Series, zone: pd.Series) -> pd.Series:
 
 
 class InstantDictionary:
-    """Persistent dictionary (raw, zone) -> utc_us in a folder of append-only parts.
+    """Persistent dictionary (raw, zone) -> utc_us in a folder of parts, one for each named extension.
 
-    `extend` parses only pairs that no earlier part holds, so a daily run pays for new spellings
-    only. Unreadable pairs are kept with a null instant and aren't parsed again. Repeating an
-    extension changes nothing.
+    `extend` parses only pairs that no other part holds, so a daily run pays for new spellings
+    only. Every part counts its rows for each pair, so the counts are those of all extensions.
+    Unreadable pairs are kept with a null instant and aren't parsed again. Repeating an extension
+    replaces its part and changes nothing.
     """
 
     SCHEMA = "raw string, zone string, utc_us long, n long"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.parts = spark, path or scratch_path(spark, "instants"), 0
+        self.spark, self.path = spark, path or scratch_path(spark, "instants")
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         root = fs.Path(self.path)
         files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if files.exists(root):
-            self.parts = sum(f.getPath().getName().startswith("part=") and files.exists(fs.Path(f.getPath(), "_SUCCESS")) for f in files.listStatus(root))
+        self.names = sorted(f.getPath().getName().removeprefix("part=") for f in files.listStatus(root) if f.getPath().getName().startswith("part=") and files.exists(fs.Path(f.getPath(), "_SUCCESS"))) if files.exists(root) else []
+
+    @property
+    def parts(self) -> int:
+        return len(self.names)
+
+    def _parts(self, names: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/part={i}" for i in names])
+        return rows if len(names) == 1 else rows.groupBy("raw", "zone").agg(F.max("utc_us").alias("utc_us"), F.sum("n").alias("n"))
 
     def read(self) -> DataFrame:
-        if not self.parts:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
+        return self._parts(self.names) if self.names else self.spark.createDataFrame([], self.SCHEMA)
 
-    def extend(self, stamps: DataFrame) -> DataFrame:
-        """Add the pairs of stamps (raw, zone); give the dictionary as it is now."""
+    def extend(self, stamps: DataFrame, name: str | None = None) -> DataFrame:
+        """Add the pairs of stamps (raw, zone) as the extension of that name, by default the next number; give the dictionary as it is now."""
+        name = str(len(self.names)) if name is None else name
+        others = [p for p in self.names if p != name]
         pairs = stamps.groupBy("raw", "zone").agg(F.count(F.lit(1)).alias("n"))
-        if self.parts:
-            pairs = pairs.join(self.read().select("raw", "zone"), ["raw", "zone"], "left_anti")
-        pairs.select("raw", "zone", _read("raw", "zone").alias("utc_us"), "n").write.mode("overwrite").parquet(f"{self.path}/part={self.parts}")
-        self.parts += 1
+        if others:
+            # Known pairs keep their instant; the parser sees the others only.
+            known = self._parts(others).select("raw", "zone", F.col("utc_us").alias("_known"), F.lit(True).alias("_seen"))
+            pairs = materialise(pairs.join(known, ["raw", "zone"], "left"), "pairs")
+            told = pairs.where("_seen").select("raw", "zone", F.col("_known").alias("utc_us"), "n").unionByName(pairs.where("_seen is null").select("raw", "zone", _read("raw", "zone").alias("utc_us"), "n"))
+        else:
+            told = pairs.select("raw", "zone", _read("raw", "zone").alias("utc_us"), "n")
+        told.write.mode("overwrite").parquet(f"{self.path}/part={name}")
+        self.names = sorted({*self.names, name})
         return self.read()
 
 
-def normalise_instants(rows: DataFrame, dictionary: InstantDictionary, salts: int = 64) -> DataFrame:
+def normalise_instants(rows: DataFrame, dictionary: InstantDictionary, salts: int = 64, parts: list[str] | None = None) -> DataFrame:
     """rows (tbl, row_key, raw, zone) -> (tbl, row_key, utc_us) of every readable stamp, whole-row copies once.
 
     Null and blank stamps, and unreadable ones, give no row; a null zone counts as UTC. A key with
     several different readable stamps gives a row for each. Extra columns are ignored. An empty
-    table gives an empty result.
+    table gives an empty result. With `parts`, the names of tables in tbl, the dictionary is
+    extended by one after the other, as it grows from day to day.
     """
     rows = rows.select("tbl", "row_key", "raw", F.coalesce("zone", F.lit("UTC")).alias("zone")).where("raw is not null")
-    known = dictionary.extend(rows)
+    for part in parts or [None]:
+        dictionary.extend(rows if part is None else rows.where(F.col("tbl") == part), part)
+    known = dictionary.read()
+    if len(dictionary.names) > 1:
+        known = materialise(known, "instants")
     # The total is read from the dictionary's own counts; at most HOT_SHARE pairs can pass.
     total = known.agg(F.sum("n")).first()[0] or 0
     hot = [(r.raw, r.zone) for r in known.where(F.col("n") > F.lit(max(HOT_ROWS, total // HOT_SHARE))).select("raw", "zone").collect()]

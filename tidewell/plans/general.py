@@ -16,7 +16,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "drive_watch_state", "channel_id", "expiration"),
         table(spark, sf_dir, "ingestion_sources", "source_id", "tz_name"),
     )
-    return normalise_instants(written, InstantDictionary(spark))
+    return normalise_instants(written, InstantDictionary(spark), parts=["messages", "ingest_requests", "drive_watch_state"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
