@@ -109,7 +109,19 @@ def written_form(text: str) -> int:
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, by bit-parallel rows and a walk back."""
+    """Index pairs of a longest common subsequence: equal beginnings and ends, and between them bit-parallel rows and a walk back."""
+    top = 0
+    while top < min(len(a), len(b)) and a[top] == b[top]:
+        top += 1
+    low = 0
+    while low < min(len(a), len(b)) - top and a[-1 - low] == b[-1 - low]:
+        low += 1
+    ends = [(i, i) for i in range(top)] + [(len(a) - i, len(b) - i) for i in range(1, low + 1)]
+    a, b = a[top : len(a) - low], b[top : len(b) - low]
+    return ends + [(i + top, j + top) for i, j in _between(a, b)] if a and b else ends
+
+
+def _between(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
@@ -149,15 +161,15 @@ class _Page:
             other.hits[j] += 1
         # A page that was cut short may end inside a line that its neighbours have whole.
         for short, long in ((self, other), (other, self)):
-            if short.keys and len(short.keys[-1]) >= 3 and short.keys[-1] not in long.keys and any(k.startswith(short.keys[-1]) for k in long.keys[-12:]):
+            if short.keys and len(short.keys[-1]) >= 3 and short.keys[-1] not in long.keys and any(k.startswith(short.keys[-1]) for k in long.keys):
                 short.hits[-1] += 1
         self.seen += 1
         other.seen += 1
 
-    def furniture(self) -> list[int]:
-        """Numbers of the lines that are not body."""
+    def furniture(self) -> list[tuple[int, str]]:
+        """Numbers of the lines that are not body, each with what tells it: aligned with the neighbours, or its form alone."""
         fences = [k for k, (_, x) in enumerate(self.lines) if x.startswith("```")]
-        fenced = {k for a, b in zip(fences[::2], fences[1::2]) if b - a <= 40 for k in range(a, b + 1)} if len(fences) % 2 == 0 else set(fences)
+        fenced = {k for a, b in zip(fences[::2], fences[1::2]) for k in range(a, b + 1)} if len(fences) % 2 == 0 else set(fences)
         names = {x.lstrip("# ").casefold() for _, x in self.lines}
         title, last = self.title.strip().casefold(), len(self.lines) - 1
         out, listing = [], False
@@ -182,8 +194,9 @@ class _Page:
                 form = OTHER if listing else form
             listing = listing or bool(_CONTENTS.match(text))
             # Fewer neighbours say less: the bar rises as their number falls.
-            if form == OTHER or form == UNSURE and self.seen >= 3 and self.hits[k] / self.seen >= SHARED + 0.6 / self.seen:
-                out.append(n)
+            shared = self.seen >= 3 and self.hits[k] / self.seen >= SHARED + 0.6 / self.seen
+            if form == OTHER or form == UNSURE and shared:
+                out.append((n, "aligned" if shared else "form"))
         return out
 
 
@@ -191,8 +204,8 @@ def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     window: deque[_Page] = deque()
 
     def told(pages: list[_Page]) -> pd.DataFrame:
-        rows = [(p.link_id, n) for p in pages for n in p.furniture()]
-        return pd.DataFrame(rows, columns=["link_id", "line_no"]).astype({"link_id": "int64", "line_no": "int32"})
+        rows = [(p.link_id, *x) for p in pages for x in p.furniture()]
+        return pd.DataFrame(rows, columns=["link_id", "line_no", "evidence"]).astype({"link_id": "int64", "line_no": "int32"})
 
     for batch in batches:
         ready: list[_Page] = []
@@ -211,7 +224,7 @@ def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
-    """pages (link_id, url, title, raw_text) -> (link_id, line_no) of non-blank lines that are not body.
+    """pages (link_id, url, title, raw_text) -> (link_id, line_no, evidence) of non-blank lines that are not body.
 
     Lines are separated by \\n and counted from 0. Null and empty texts and null ids give no rows;
     whole-row copies count once; a null url forms a host of its own; extra columns are ignored.
@@ -222,4 +235,4 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
     # Copies of a row have the same sort key, so they end up side by side in one partition; a repeated one is dropped by the final distinct.
     placed = near.repartitionByRange("host", "path", "link_id").sortWithinPartitions("host", "path", "link_id")
     unique = placed.groupBy("host", "path", "link_id").agg(F.first("title").alias("title"), F.first("raw_text").alias("raw_text")).sortWithinPartitions("host", "path", "link_id")
-    return unique.mapInPandas(_differences, "link_id long, line_no int")
+    return unique.mapInPandas(_differences, "link_id long, line_no int, evidence string")

@@ -18,10 +18,19 @@ from tidewell.session import materialise
 from tidewell.tables import table
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate_lines(table(spark, sf_dir, "scraped_links", "link_id", "url", "title", "raw_text"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("link_id", "line_no")
+
+
+def p1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines the neighbours tell, and how many their form alone."""
+    return _lines(spark, sf_dir).groupBy("evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_values(link_values(table(spark, sf_dir, "scraped_links", "link_id", "url", "raw_text"), table(spark, sf_dir, "ask_links", "ask_id", "url", "partial_text", "block_reason")))
 
@@ -114,7 +123,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_places(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "end_pos")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_host_share": p2_host_share, "p2_evidence": p2_evidence, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_posteriors": p9_posteriors, "p10_found": p10_found, "p10_sentences": p10_sentences}
+QUERIES = {"p1_found": p1_found, "p1_evidence": p1_evidence, "p2_found": p2_found, "p2_host_share": p2_host_share, "p2_evidence": p2_evidence, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_posteriors": p9_posteriors, "p10_found": p10_found, "p10_sentences": p10_sentences}
 
 _PAIRS = """with r as (
   select distinct 'grade_topics' as field, grade_id as key, topics as items from grades
