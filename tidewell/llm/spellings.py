@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,9 +24,8 @@ TITLES = frozenset("dr mr mrs ms miss prof professor sir dame herr frau monsieur
 LEGAL = frozenset("inc gmbh ag ltd llc sa plc bv nv oy ab spa srl sarl sas kg ohg ug pty limited incorporated lp llp as kk".split())
 DROPPED = frozenset("the hq".split())
 DOMAINS = frozenset("example com org net io co dev ai test edu gov info app".split())
-# Words that are written in several ways in names of organisations, and whole names with another usual name.
+# Words that are written in several ways in names of organisations, each with the usual one.
 WORDS = dict(pair.split("=") for pair in "laboratories=labs laboratory=labs lab=labs tech=technologies technology=technologies bros=brothers intl=international univ=university uni=university inst=institute fdn=foundation fndn=foundation grp=group sys=systems syst=systems co=company corp=corporation assn=association dept=department natl=national mfg=manufacturing svcs=services".split())
-ALIASES = {"evals": "evaluation", "oss": "open source", "embedding vectors": "embeddings"}
 # Short forms of given names, each with the name it stands for.
 NICKNAMES = dict(
     pair.split("=")
@@ -71,7 +69,6 @@ def parse(name: str) -> tuple[list[str], int, str, bool] | None:
     kept = [kept[0], *(WORDS.get(p.rstrip("."), p) for p in kept[1:])]
     short = any(p.endswith(".") and len(p) > 2 for p in kept)
     tokens = [p.rstrip(".") for p in kept]
-    tokens = ALIASES.get(" ".join(tokens), " ".join(tokens)).split(" ")
     tokens = [NICKNAMES.get(t, t) if len(tokens) > 1 else t for t in tokens]
     form = SHORTENED if short else INITIAL if any(len(t) == 1 for t in tokens) and len(tokens) > 1 else SINGLE if len(tokens) == 1 else WHOLE
     return tokens, form, "".join(tokens), proper
@@ -98,32 +95,47 @@ def abbreviates(short: str, whole: str) -> bool:
     return all(c in rest for c in short)
 
 
+def matched(edges: list[set[int]], taken: dict[int, int]) -> bool:
+    """Whether every row of edges that isn't taken yet gets a column of its own, by augmenting paths; taken (row to column) stays."""
+    owner = {k: i for i, k in taken.items()}
+
+    def place(i: int, seen: set[int]) -> bool:
+        for k in edges[i]:
+            if k not in seen and owner.get(k) not in taken:
+                seen.add(k)
+                if k not in owner or place(owner[k], seen):
+                    owner[k] = i
+                    return True
+        return False
+
+    return all(i in taken or place(i, set()) for i in range(len(edges)))
+
+
 def fits(partial: list[str], whole: list[str]) -> bool:
     """Whether the tokens of a shortened name can be assigned to different tokens of a whole one.
 
-    One must be equal or one edit off; the others may be initials, abbreviations or prefixes. Of
-    the whole name only tokens behind the assigned ones may be left over, and only if the last
-    partial token is an abbreviation. The assignment with the fewest edits decides.
+    One must be equal or one edit off; the others may be initials, abbreviations or prefixes, and
+    one edit is allowed in all. Of the whole name only tokens behind the assigned ones may be left
+    over; then the order stands. The assignment with the fewest edits is found by matching: all
+    tokens without edit, else all but one.
     """
-    if len(partial) > len(whole):
+    n = len(partial)
+    if n > len(whole):
         return False
-    best = None
-    for chosen in permutations(range(len(whole)), len(partial)):
-        cost, firm = 0, False
-        for t, k in zip(partial, chosen):
+    free: list[set[int]] = [set() for _ in partial]
+    equal, edited = set(), set()
+    for i, t in enumerate(partial):
+        for k in range(n) if n == len(whole) else (i,):
             w = whole[k]
             if t == w:
-                firm = firm or len(t) > 2
+                free[i].add(k)
+                if len(t) > 2:
+                    equal.add((i, k))
             elif len(t) >= 4 and len(w) >= 4 and one_edit(t, w):
-                cost, firm = cost + 1, True
+                edited.add((i, k))
             elif abbreviates(t, w) and (len(t) == 1 or w.startswith(t) or len(t) <= 5):
-                cost += 0
-            else:
-                break
-        else:
-            if firm and cost <= 1 and (len(partial) == len(whole) or chosen == tuple(range(len(partial)))):
-                best = cost if best is None else min(best, cost)
-    return best is not None
+                free[i].add(k)
+    return any(matched(free, {i: k}) for i, k in equal | edited)
 
 
 def deletions(token: str) -> list[str]:
