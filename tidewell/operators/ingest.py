@@ -14,6 +14,8 @@ from tidewell.operators.ordered import greedy_batches, last_marked, row_numbers
 from tidewell.session import broadcast_if_small
 
 MIN_QUALITY, BORDERLINE, CONTEXT = 4, 3, 3
+#: More lines than a text can have.
+LINES = 1 << 32
 
 HEADER = r"^(\d{1,2}/\d{1,2}/\d{2,4}), (\d{1,2}:\d{2}(?::\d{2})?(?:[\x{20}\x{A0}\x{202F}][AaPp][Mm])?)(?: -)? (.*)$"
 _DATES = ["d/M/yyyy", "d/M/yy"]
@@ -33,11 +35,12 @@ def dated(messages: DataFrame, zones: DataFrame) -> DataFrame:
 def export_lines(messages: DataFrame) -> DataFrame:
     """messages (source_id, pos, ts, text) -> lines (source_id, line_no, line) of an export with a placeholder author.
 
-    line_no grows with pos; blank lines inside a text are kept and vanish in parsing.
+    line_no is pos * LINES + the line's number in its text, which is always below LINES; blank
+    lines inside a text are kept and vanish in parsing.
     """
     head = F.concat(F.date_format("ts", "d/M/yyyy, HH:mm:ss"), F.lit(" - Member: "))
     lines = messages.select("source_id", "pos", F.posexplode(F.split(F.concat(head, "text"), "\n")).alias("k", "line"))
-    return lines.select("source_id", (F.col("pos") * 100_000 + F.col("k")).alias("line_no"), "line")
+    return lines.select("source_id", (F.col("pos").cast("decimal(19,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("k")).cast("decimal(30,0)").alias("line_no"), "line")
 
 
 def parse_export(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +13,8 @@ from tidewell.functions import text as T
 from tidewell.session import broadcast_if_small, materialise
 
 K1, B, RRF_K, DEPTH, TOP, STRONG = 1.5, 0.75, 60, 30, 5, 2.0
-#: Query vectors multiplied at once.
-BLOCK = 2048
+#: Query vectors multiplied at once, and different query words up to which a text is filtered where it is split.
+BLOCK, TERMS = 16_384, 2000
 
 
 def top_ranked(scores: DataFrame, depth: int = DEPTH, by: str = "query_id") -> DataFrame:
@@ -29,54 +29,70 @@ def bm25(docs: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
     Statistics are those of the docs given, so a filter belongs before. Repeated query words count
     repeatedly. Documents without any query word have no score and no row; empty inputs give none.
     """
-    terms = docs.select("doc_id", F.explode(T.bm25_tokens(F.coalesce("text", F.lit("")))).alias("term"))
-    postings = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select("doc_id", F.size(T.bm25_tokens(F.coalesce("text", F.lit("")))).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(T.bm25_tokens(F.coalesce("query_text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # Only words some query asks for travel further.
-    useful = postings.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+    asked = materialise(asked, "asked")
+    tokens = docs.select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+    words = [r.term for r in asked.select("term").distinct().limit(TERMS + 1).collect()]
+    if len(words) <= TERMS:
+        # One pass: each text is split once, only asked words leave it, and a row without word tells its length.
+        wanted = F.filter("ts", lambda t: t.isin(words)) if words else F.array().cast("array<string>")
+        each = tokens.select("doc_id", F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), wanted)).alias("term"))
+        postings = materialise(each.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+        stats, useful = postings.where("term is null"), postings.where("term is not null")
+    else:
+        stats = tokens.select(F.size("ts").alias("len"))
+        each = tokens.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+        useful = materialise(each.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     df = useful.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = useful.join(df, "term").join(lengths, "doc_id").join(F.broadcast(stats), F.lit(True))
+    weighed = useful.join(broadcast_if_small(df), "term").join(F.broadcast(stats), F.lit(True))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = weighed.select("term", "doc_id", weight.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
+    hits = weighed.select("term", "doc_id", weight.alias("w")).join(broadcast_if_small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
     return top_ranked(hits.where("score > 0"), depth)
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
     """vectors (doc_id, embedding), queries (query_id, embedding) -> (query_id, doc_id, score, rank), exact.
 
-    Queries go in blocks of BLOCK to all rows; every batch keeps its own best, so what is shuffled
-    is at most depth rows per query and batch. Zero vectors score 0; null ones fall away.
+    Queries go in blocks of BLOCK, as a broadcast matrix, to all rows; of every batch those leave
+    that may be among the best, so what is shuffled is about depth rows per query and batch. Zero
+    vectors score 0; null ones fall away; of a query id given twice one vector counts.
     """
-    out = None
+    spark, out = vectors.sparkSession, None
     asked = queries.where("embedding is not null").select("query_id", "embedding")
     blocks = asked.count() // BLOCK + 1
+    rows = vectors.where("embedding is not null").select("doc_id", "embedding")
     for at in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).dropDuplicates(["query_id"]).collect()
-        if not block:
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at)
+        told = block.dropDuplicates(["query_id"]).toArrow()
+        if not told.num_rows:
             continue
-        keys = np.array([r.query_id for r in block])
-        q = np.array([r.embedding for r in block], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        keys = told.column("query_id").to_numpy()
+        q = _matrix(told.column("embedding").combine_chunks())
+        sent = spark.sparkContext.broadcast((keys, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
-        def score(batches: Iterator[pd.DataFrame], keys=keys, q=q) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            keys, q = sent.value
             for b in batches:
-                v = np.array(b["embedding"].tolist(), float).reshape(len(b), -1)
-                if not len(v):
+                if not b.num_rows:
                     continue
+                v = _matrix(b.column("embedding"))
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 s = np.round(q @ v.T, 6)
-                docs = b["doc_id"].to_numpy()
-                keep = min(depth, s.shape[1])
-                order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :keep]
-                rows = np.arange(len(keys))[:, None]
-                yield pd.DataFrame({"query_id": np.repeat(keys, keep), "doc_id": docs[order].ravel(), "score": s[rows, order].ravel()})
+                docs = b.column("doc_id").to_numpy()
+                least = np.partition(s, -depth, axis=1)[:, -depth, None] if depth < s.shape[1] else np.full((len(keys), 1), -np.inf)
+                i, j = np.nonzero(s >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i], pa.int64()), pa.array(docs[j], pa.int64()), pa.array(s[i, j])], ["query_id", "doc_id", "score"])
 
-        part = top_ranked(vectors.where("embedding is not null").select("doc_id", "embedding").mapInPandas(score, "query_id long, doc_id long, score double"), depth)
+        part = top_ranked(rows.mapInArrow(score, "query_id long, doc_id long, score double"), depth)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank long")
+    return out if out is not None else spark.createDataFrame([], "query_id long, doc_id long, score double, rank long")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, without a list for each."""
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
 
 
 def fuse(runs: list[DataFrame], depth: int = DEPTH) -> DataFrame:

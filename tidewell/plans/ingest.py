@@ -25,14 +25,14 @@ def chat_roundtrip(spark, sf_dir):
     ts = F.try_to_timestamp(F.col("datetime_iso"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     rows = _messages(spark, sf_dir).where(F.col("datetime_iso").rlike(_PLAIN)).select("source_id", "pos", ts.alias("ts"), "text").where("ts is not null and text is not null").distinct()
     parsed = I.parse_export(I.export_lines(rows))
-    return parsed.select("source_id", F.floor(F.col("line_no") / 100_000).alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "text", "is_media")
+    return parsed.select("source_id", F.expr(f"cast(line_no div {I.LINES} as bigint)").alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "text", "is_media")
 
 
 def chat_roundtrip_all(spark, sf_dir):
     """Messages with text and a stamp in any readable form written as export lines, at their instant in UTC, and parsed back."""
     zones = table(spark, sf_dir, "ingestion_sources", "source_id", "tz_name").groupBy("source_id").agg(F.min("tz_name").alias("zone"))
     parsed = I.parse_export(I.export_lines(I.dated(_messages(spark, sf_dir), zones)))
-    return parsed.select("source_id", F.floor(F.col("line_no") / 100_000).alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "text", "is_media")
+    return parsed.select("source_id", F.expr(f"cast(line_no div {I.LINES} as bigint)").alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "text", "is_media")
 
 
 def heuristic_filter(spark, sf_dir):

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows above which a table is never broadcast by hint.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes above which a table is never broadcast by hint.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 256 << 20
 
 
 def session(app: str = "tidewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,11 +28,13 @@ def session(app: str = "tidewell", master: str | None = None, **conf: str) -> Sp
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a fresh local one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a session in one process (tests) gets a folder of its own; on a cluster it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="tidewell-")
         sc.setCheckpointDir(named)
@@ -53,8 +55,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when df was counted and is within max_rows; else leave the join to Catalyst."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Hint a broadcast only when df was counted and is within max_rows and BROADCAST_BYTES; else leave the join to Catalyst.
+
+    Bytes are those of the rows as JSON, summed in the pass that counts.
+    """
+    wide = [f.name for f in df.schema if f.dataType.typeName() in ("string", "array", "struct", "map", "binary")]
+    size = F.sum(F.octet_length(F.to_json(F.struct(*wide)))) if wide else F.lit(0)
+    told = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return F.broadcast(df) if told.n <= max_rows and (told.b or 0) <= BROADCAST_BYTES else df
 
 
 def hot_salt(hot: list[tuple], keys: list[str], spread, salts: int = 64):

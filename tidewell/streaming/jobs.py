@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,20 +21,26 @@ def validated(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("error", F.when(F.col("entry_id").isNull(), "no entry_id").when(~F.coalesce(F.col("job_type").isin(KINDS), F.lit(False)), "unknown type").when((F.col("job_type") != "start") & (F.trim(F.coalesce("text", F.lit(""))) == ""), "empty text"))
 
 
-def read_jobs(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """JSON lines arriving as files; a file is the smallest batch."""
-    return spark.readStream.schema(JOB).option("maxFilesPerTrigger", max_files).json(path)
+def read_jobs(spark: SparkSession, path: str, max_files: int = 1, latest: bool = False) -> DataFrame:
+    """JSON lines arriving as files; a file is the smallest batch. A new stream starts with the files that are there, or with `latest` with those that come after its start."""
+    rows = spark.readStream.schema(JOB).option("maxFilesPerTrigger", max_files).json(path)
+    return rows.where(F.col("_metadata.file_modification_time") >= F.lit(datetime.now(timezone.utc))) if latest else rows
+
+
+def decoded(bodies: DataFrame) -> DataFrame:
+    """bodies (value: bytes or text of one JSON object) -> jobs; one that can't be read has no entry_id and ends among the dead letters."""
+    return bodies.select(F.from_json(F.col("value").cast("string"), JOB).alias("j")).select("j.*")
 
 
 def route(jobs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Good jobs to one folder per kind, others with their error to dead_letters.
+    """Good jobs to one folder per kind in each batch, others with their error to dead_letters.
 
     A batch is committed only after both writes; repeated after a failure it replaces its own rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         told = validated(batch).persist()
-        append_once(told.where("error is null").drop("error"), f"{out}/jobs", batch_id)
+        append_once(told.where("error is null").drop("error"), f"{out}/jobs", batch_id, by=["job_type"])
         append_once(told.where("error is not null"), f"{out}/dead_letters", batch_id)
         told.unpersist()
 
