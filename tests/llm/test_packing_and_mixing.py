@@ -87,7 +87,7 @@ def test_classifier_on_held_out_texts():
 
 def test_no_source_is_left_out_and_posteriors_meet_the_targets(spark):
     rng = random.Random(8)
-    docs = [(1000 * k + i, s, " ".join(rng.choices(["the", "of", f"{s}ly", f"{s}ing", f"{s}er"], k=12)), rng.randrange(80, 200)) for k, s in enumerate("abcd") for i in range({"a": 200, "b": 200, "c": 3, "d": 60}[s])]
+    docs = [(10_000 * k + i, s, " ".join(rng.choices(["the", "of", f"{s}ly", f"{s}ing", f"{s}er"], k=12)), rng.randrange(80, 200)) for k, s in enumerate("abcd") for i in range({"a": 4000, "b": 4000, "c": 60, "d": 1200}[s])]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 1), ("c", 0.1, 1), ("d", 0.1, 1), ("none", 0.1, 1)], "source string, target_share double, max_repeats int")
     got = {r.source: r for r in M.mixture_shares(M.mixture(df, targets), targets).collect()}
