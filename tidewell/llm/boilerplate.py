@@ -116,9 +116,10 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     low = 0
     while low < min(len(a), len(b)) - top and a[-1 - low] == b[-1 - low]:
         low += 1
-    ends = [(i, i) for i in range(top)] + [(len(a) - i, len(b) - i) for i in range(1, low + 1)]
+    last = [(len(a) - i, len(b) - i) for i in range(1, low + 1)]
     a, b = a[top : len(a) - low], b[top : len(b) - low]
-    return ends + [(i + top, j + top) for i, j in _between(a, b)] if a and b else ends
+    middle = [(i + top, j + top) for i, j in _between(a, b)] if a and b else []
+    return last + middle + [(i, i) for i in reversed(range(top))]
 
 
 def _between(a: list[int], b: list[int]) -> list[tuple[int, int]]:
