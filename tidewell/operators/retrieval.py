@@ -78,7 +78,7 @@ def cosine(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFr
                 if not b.num_rows:
                     continue
                 v = _matrix(b.column("embedding"))
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 s = np.round(q @ v.T, 6)
                 docs = b.column("doc_id").to_numpy()
                 least = np.partition(s, -depth, axis=1)[:, -depth, None] if depth < s.shape[1] else np.full((len(keys), 1), -np.inf)
