@@ -35,9 +35,6 @@ SURE, OWN = 7.88, 0.3
 CERTAIN = 0.9998
 #: Buckets of hashed following words, letters from which a word without inner period also tells how sentences begin, fewest occurrences for a share of its own, and rounds of fitting.
 BUCKETS, LONG, LEAST, ROUNDS = 4096, 8, 3, 12
-#: Length from which two straight quotes are taken for unpaired ones.
-STRAIGHT = 1500
-
 _TERM = re.compile(r"[.!?…。！？｡।॥؟۔]+|;(?=\s|$)|(?:\s*[\U0001F000-\U0001FAFF☀-➿][️‍\U0001F3FB-\U0001F3FF]*)+")
 _CLOSERS = re.compile(r"(?:[  \u202f]?»|[\"'”’“›」』）)\]】》])*")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n\s*)+")
@@ -45,6 +42,8 @@ _LIST = re.compile(r"[^\S\n]*(?:[-*•‣◦–] |\d{1,3}[.)] |[a-z]\) )")
 _HEADING = re.compile(r"[^\S\n]*#{1,6}\s")
 _BREAK = re.compile(r"(?<=[^\s.!?。！？।؟…])[^\S\n]*\n(?=[^\s])")
 _TERM_PLAIN = re.compile(r"[.!?]+")
+_SPACE = re.compile(r"(?<=[^\s.!?…,;:(\[—–-])[^\S\n]+(?=\S)")
+_RUN = re.compile(r"\S+")
 _QUOTED = re.compile(r"[\"“„«「『（(\[‘《]")
 _AFTER = re.compile(r"(?:\s*(?:[\U0001F000-\U0001FAFF☀-➿][️‍\U0001F3FB-\U0001F3FF]*|:-?[)(DPp]|;-?\)|\^\^|\b(?:lol|lmao|haha+|hehe+|xd|jaja+|mdr|www+|kkk+)\b[.!]*))+", re.I)
 #: First letters of the laughs in _AFTER, and what a run of closers may begin with.
@@ -52,11 +51,13 @@ _LAUGHS, _CLOSING = frozenset("lLhHxXjJmMwWkKſK"), frozenset("  \u202f»\"'”
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TOKENS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 _DIGITS = re.compile(r"\d+")
+_STOPPED = re.compile(r"[^.…]*[.…]")
 _BEFORE = re.compile(r"[^\s\"“”„«»()\[\]（）「」『』,;:!?]+$")
 _OPENERS = " \t\n\r ​\"'“„«‹「『（([¿¡*_"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‘": "’", "《": "》"}
 _NO_SPACES = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
-_THAI = re.compile(r"[฀-๿]")
+#: Where a token stands behind a letter or digit in text of such a script; not within a word or number of another one.
+_GOES_ON = re.compile(r"(?<=[^\W_])(?!(?<=[^\W\d_぀-ヿ㐀-鿿฀-๿])[^\W\d_぀-ヿ㐀-鿿฀-๿])(?!(?<=\d)\d)(?=[%s]*([぀-ヿ㐀-鿿฀-๿](?s:.)?|\d|[^\W\d_]+(?:['’-][^\W\d_]+)*|(?s:.)))" % re.escape(_OPENERS))
 _INNER = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w.-]+\w|(?<![\w.])\.\w+|\b[\w-]+(?:\.[a-z]{2,5})(?:/\S*)?(?=[\s,;:!?)]|\.(?:\s|$))|\d+(?:[.,:]\d+)+")
 # Very common words that tell the languages written in Latin script apart.
 _COMMON = {"en": "the and of to is in that for with was it", "de": "der die das und ist nicht ein für mit von auf zu", "fr": "le la les des et est une pour que dans sur", "es": "el los las y es una para que en por del con"}
@@ -112,17 +113,18 @@ def _shape(token: str) -> str:
 
 
 def _spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Quotations and brackets that close again within the block; straight quotes, whose marks don't tell opening from closing, only over less than STRAIGHT characters."""
+    """Quotations and brackets that close again within the block, however far; a straight quote opens or closes by what stands at its sides, and where these don't tell, by turns."""
     out, i, straight = [], start, -1
     opened: list[tuple[str, int]] = []
     while i < end:
         c = text[i]
         if c == '"':
-            if straight < 0:
-                straight = i
+            left, right = text[i - 1 : i] if i > start else "", text[i + 1 : i + 2] if i + 1 < end else ""
+            no_left, no_right = not left or left.isspace() or left in "([{", not right or right.isspace() or right in ".,;:!?…)]}"
+            if straight < 0 or no_left and not no_right:
+                straight = -1 if no_right and not no_left else i
             else:
-                if i - straight < STRAIGHT:
-                    out.append((straight, i))
+                out.append((straight, i))
                 straight = -1
         elif opened and c in opened[-1][0]:
             out.append((opened.pop()[1], i))
@@ -180,7 +182,7 @@ def endings(text: str, start: int, end: int, lang: str) -> Iterator[tuple[int, s
     if broken:
         marks += [(m.start(), m.start(), "\n") for m in _BREAK.finditer(text, start, end)]
     if lang == "th":
-        marks += [(start + m.start(), start + m.start(), " ") for m in re.finditer(r"(?<=[฀-๿\w])[ ]+(?=[฀-๿A-Z])", text[start:end])]
+        marks += [(start + m.start(), start + m.start(), " ") for m in _SPACE.finditer(text[start:end])]
     if not marks:
         return
     quoted = _spans(text, start, end) if _QUOTED.search(text, start, end) else []
@@ -233,8 +235,10 @@ def endings(text: str, start: int, end: int, lang: str) -> Iterator[tuple[int, s
             yield stop, "Q", nxt, False
         elif mark == "\n":
             line = text.rfind("\n", start, s) + 1
-            fits = s - max(line, start) + 1 + len(nxt) + 2 < widest
-            if nxt[:1].isupper() and fits:
+            # What would have had to follow on the line: in Thai, which breaks between words it doesn't part, all up to the next space.
+            ahead = nxt if nxt[:1].isupper() or lang in ("ja", "zh") else _RUN.match(text, at).group()
+            fits = s - max(line, start) + 1 + len(ahead) + 2 < widest
+            if nxt[:1].isalpha() and not nxt[:1].islower() and fits:
                 yield s, "L", nxt, False
         elif mark == " ":
             yield s, "S", nxt, False
@@ -245,14 +249,17 @@ def endings(text: str, start: int, end: int, lang: str) -> Iterator[tuple[int, s
         elif "…" in mark or mark.startswith(".."):
             yield stop, "…", nxt, False
         else:
-            before = _BEFORE.search(text, max(start, s - 30), s)
+            before, width = _BEFORE.search(text, max(start, s - 30), s), 30
+            while before and before.start() == s - width > start:  # a word longer than what was looked at
+                width *= 2
+                before = _BEFORE.search(text, max(start, s - width), s)
             word = (before.group() if before else "").casefold()
             word = _DIGITS.sub("#", word)
             if not spaced:
                 if ahead in "«„“¿¡(\"「" or ahead.isupper() and len(word) > 1 and "." not in word and stop + 1 < len(text) and (text[stop + 1].islower() or text[stop + 1].isspace()):
                     yield stop, "G", nxt, False
                 continue
-            yield stop, word[-24:], nxt, False
+            yield stop, word, nxt, False
 
 
 #: Endings that are no words: closing quotations, ellipses and other marks.
@@ -379,7 +386,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # Words are added up as they are, and told apart once when the counts go out.
     going: defaultdict[str, Counter] = defaultdict(Counter)
     plain: defaultdict[str, Counter] = defaultdict(Counter)
-    glued: Counter = Counter()
+    glued: defaultdict[str, Counter] = defaultdict(Counter)
 
     def told() -> pa.RecordBatch:
         counts: Counter = Counter()
@@ -389,13 +396,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = _TOKENS.match(raw)
             if m:
                 counts["m", lang, None, *_hashed("#" if raw[0].isdigit() else m.group())] += n
-        for (lang, token), n in glued.items():
-            counts["m", lang, None, *_hashed(token)] += n
+        for lang, token, n in ((lang, token, n) for lang, t in glued.items() for token, n in t.items()):
+            counts["m", lang, None, *_hashed("#" if token[0].isdigit() else token)] += n
         for lang, raw, n in ((lang, raw, n) for lang, t in plain.items() for raw, n in t.items()):
             last = None
             for last in _TOKENS.finditer(raw):
                 pass
-            if last:
+            if last and not _STOPPED.match(raw, last.end()):
                 counts["w", lang, _DIGITS.sub("#", last.group().casefold()), None, None] += n
         for c in (begun, going, plain, glued):
             c.clear()
@@ -433,20 +440,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         begun[lang, following(text, start, end)] += 1
                     piece = text[start:end]
                     if lang != "ko" and _NO_SPACES.search(piece):
-                        for i in range(2, len(piece) - 1, 3):
-                            if piece[i - 1].isalnum():
-                                glued[lang, following(piece, i, len(piece))] += 1
+                        glued[lang].update(_GOES_ON.findall(piece))
                     else:
                         words = piece.split()
-                        pairs = [x for x in zip(words, words[1:]) if x[0][-1].isalnum()]
-                        if pairs:
-                            left, right = zip(*pairs)
-                            plain[lang].update(left)
-                            going[lang].update(right)
+                        plain[lang].update(words)
+                        going[lang].update(right for left, right in zip(words, words[1:]) if left[-1].isalnum())
                 place(start, end, None, None, None)
         n = len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((["d"] * n, langs, keys, buckets, shapes, [1] * n, ids, ends, nexts), _SCHEMA)], schema=_SCHEMA)
-        if len(begun) + len(glued) + sum(map(len, going.values())) + sum(map(len, plain.values())) > 400_000:
+        if len(begun) + sum(len(t) for c in (going, plain, glued) for t in c.values()) > 400_000:
             yield told()
     yield told()
 
